@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -
     """Runs of rows whose texts take about ``most_bytes`` together; a longer text stands alone."""
     if not batch.num_rows:
         return
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
@@ -61,7 +62,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and where each begins and ends; a null text is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
