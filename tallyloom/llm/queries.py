@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.binpack import read_tokens, write_tokens
+from tallyloom.llm.common import shared_dir
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.simhash import near_duplicates
 
@@ -23,9 +28,20 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Ids of byte_bpe_50k.json.
+VOCABULARY = 50_257
+
+
+def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=VOCABULARY)
+    return read_tokens(spark, folder)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
+    "op3_pack_tokens": op3_pack_tokens,
 }
 
 ORACLES: dict[str, str] = {}
