@@ -115,4 +115,5 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "d
     joined = connected_components(fingerprint_links(distinct.select("fp"), list_limit))
     linked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(linked.select("fp", "component"), "fp").join(named, "component").select("doc_id", "fp", "component_id")
+    by_print = linked.select("fp", "component").join(named, "component").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
