@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.binpack import read_tokens, write_tokens
 from tallyloom.llm.common import shared_dir
+from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.simhash import near_duplicates
 
@@ -38,10 +39,38 @@ def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_pack_tokens": op3_pack_tokens,
+    "op5_dedup_lines": op5_dedup_lines,
 }
 
-ORACLES: dict[str, str] = {}
+_OP5_SQL = """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+  FROM documents
+), keyed AS (
+  SELECT doc_id, line, place,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM split
+), gone AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.doc_id, k.line, k.place, coalesce(k.doc_id < g.last, false) AS dropped
+  FROM keyed k LEFT JOIN gone g ON k.key = g.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL}
