@@ -12,6 +12,7 @@ from tallyloom.llm.binpack import read_tokens, write_tokens
 from tallyloom.llm.common import shared_dir
 from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
+from tallyloom.llm.repetition import repetition
 from tallyloom.llm.simhash import near_duplicates
 
 
@@ -44,11 +45,17 @@ def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_quality_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_pack_tokens": op3_pack_tokens,
     "op5_dedup_lines": op5_dedup_lines,
+    "op6_quality_repeats": op6_quality_repeats,
 }
 
 _OP5_SQL = """
