@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -31,6 +30,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +43,8 @@ MAGIC = b"TLPACK01"
 TRAILER = struct.Struct("<IIQQQ")
 BLOCK_IDS = 1 << 14
 END_ID = 0
-#: Pieces of text after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
-MEMO_PIECES = 300_000
-
-_SPACES_TOGETHER = re.compile(r" \s|\s ")
+#: Words after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
+MEMO_WORDS = 300_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -153,13 +151,13 @@ class ShardReader:
 
 
 class PieceEncoder:
-    """A byte-level tokenizer with a memory of pieces, kept for the worker's life.
+    """A byte-level tokenizer with a memory of words, kept for the worker's life.
 
     The tokenizer never joins what stands before a single space with what follows it, and how it splits before the
-    space doesn't depend on the other side. So a text whose spaces all stand alone is the sequence of its pieces
-    ``word, " word", ...``, most of which have been met before. New pieces with a leading space go to the tokenizer
-    as one text: each begins at a token that begins with the space, and has no other such token. Texts whose spaces
-    touch other white space are given to it whole.
+    space doesn't depend on the other side. So a text whose spaces touch no other white space is the sequence of its
+    first word and of its other words with a space before each; most have been met before. New words go to the
+    tokenizer as one text: each begins at a token that begins with the space, and has no other such token. Any other
+    text is given to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -174,43 +172,72 @@ class PieceEncoder:
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.recent) > MEMO_PIECES:
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        if len(self.recent) > MEMO_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        unknown = []
-        for piece in pieces.difference(recent):
-            if (known := older.get(piece)) is not None:
-                recent[piece] = known
-            else:
-                unknown.append(piece)
-        spaced = [p for p in unknown if p[:1] == " "]
-        if spaced:
-            ids = self._batch(["".join(spaced)])[0]
-            data, starts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+        fresh = []
+        for word in words:
+            if word not in recent:
+                if (known := older.get(word)) is not None:
+                    recent[word] = known
+                else:
+                    fresh.append(word)
+        if fresh:
+            data = self._batch([" " + " ".join(fresh)])[0]
+            starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, dtype="<u4")])).tolist()
             starts.append(len(data))
-            recent.update(zip(spaced, [data[a:b] for a, b in zip(starts, starts[1:])], strict=True))
-        others = [p for p in unknown if p[:1] != " "]
-        recent.update(zip(others, (ids.tobytes() for ids in self._batch(others))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids, as the tokenizer gives them for the whole text."""
-        whole = [i for i, t in enumerate(texts) if _SPACES_TOGETHER.search(t)]
-        out = dict(zip(whole, self._batch([texts[i] for i in whole])))
-        split: dict[int, list[str]] = {}
-        met: set[str] = set()
-        for i, text in enumerate(texts):
-            if i not in out:
-                first, *rest = text.split(" ")
-                split[i] = [first, *map(" ".__add__, rest)]
-                met.update(split[i])
-        self._learn(met)
-        for i, pieces in split.items():
-            out[i] = np.frombuffer(b"".join(map(self.recent.__getitem__, pieces)), dtype="<u4")
-        return [out[i] for i in range(len(texts))]
+            recent.update(zip(fresh, [data[a:b] for a, b in zip(starts, starts[1:])], strict=True))
+        return list(map(recent.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each text's ids begin and end; as the tokenizer gives them for whole texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        bounds = bounds - bounds[0]
+        first, last = bounds[:-1], bounds[1:] - 1
+
+        opens = np.fromiter((w == "" or w[0].isspace() for w in words), dtype=bool, count=len(words))[place]
+        closes = np.fromiter((w == "" or w[-1].isspace() for w in words), dtype=bool, count=len(words))[place]
+        opens[first] = False
+        closes[last] = False
+        whole = np.logical_or.reduceat(opens | closes, first)
+
+        later = np.ones(len(place), dtype=bool)
+        later[first] = False
+        later &= ~np.repeat(whole, np.diff(bounds))
+        used = np.unique(place[later])
+        pieces = self._spaced([words[i] for i in used])
+        slot = np.zeros(len(words), dtype=np.int64)
+        slot[used] = np.arange(len(used))
+        place = slot[place]
+        heads = sorted({words[i] for i in coded.indices.to_numpy()[first[~whole]]})
+        slots = {w: len(pieces) + k for k, w in enumerate(heads)}
+        pieces += self._batch(heads)
+        entire = np.flatnonzero(whole)
+        place[first] = [slots.get(words[i], 0) for i in coded.indices.to_numpy()[first]]
+        place[first[entire]] = len(pieces) + np.arange(len(entire))
+        pieces += self._batch([texts[int(i)].as_py() for i in entire])
+
+        later[first] = True  # now: the pieces that count
+        place = place[later]
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+        lengths = sizes[place]
+        ends = np.cumsum(lengths)
+        ids = flat[np.arange(ends[-1]) + np.repeat(begins[place] - ends + lengths, lengths)]
+        kept = np.concatenate([[0], np.cumsum(later)])[bounds]
+        return ids, np.concatenate([[0], ends])[kept]
 
 
 @functools.cache
@@ -232,13 +259,14 @@ def _write(folder: str, tokenizer: str, bits: int, block_ids: int):
         files, base = open_folder(folder)
         name = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.pack"
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
+            for part in text_slices(batch, "text"):
                 if writer is None:
                     out = files.open_output_stream(name)
                     writer = ShardWriter(out, bits, block_ids)
-                end = np.array([END_ID], dtype="<u4")
-                for doc_id, ids in zip(part.column(0).to_pylist(), piece_encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])):
-                    writer.add(doc_id, np.concatenate([ids, end]))
+                ids, bounds = piece_encoder(tokenizer).encode(part.column(1))
+                ended, starts = np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
+                for doc_id, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                    writer.add(doc_id, ended[a:b])
         if writer is not None:
             writer.close()
             out.close()
