@@ -14,6 +14,8 @@ from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.repetition import repetition
 from tallyloom.llm.simhash import near_duplicates
+from tallyloom.llm.toxicity import fit, score_documents
+from tallyloom.llm.urls import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +52,30 @@ def op6_quality_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+#: Scores from which a document is predicted toxic.
+TOXIC_FROM = 0.7
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scored = score_documents(documents, fit(documents, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_pack_tokens": op3_pack_tokens,
     "op5_dedup_lines": op5_dedup_lines,
     "op6_quality_repeats": op6_quality_repeats,
+    "op8_toxicity": op8_toxicity,
+    "op9_url_filter": op9_url_filter,
 }
 
 _OP5_SQL = """
@@ -80,4 +100,64 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL}
+_OP9_SQL = r"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, host || path AS text,
+    CASE WHEN ('.' || host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN ('.' || host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN ('.' || host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN ('.' || host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN ('.' || host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parsed
+), texts AS (
+  SELECT text, count(*) FILTER (rule IN ('com/', 'www.example.com/en/'))::DOUBLE AS allowed,
+         count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/'))::DOUBLE AS blocked
+  FROM ruled GROUP BY text
+), padded AS (
+  SELECT *, repeat(chr(2), 3) || text || chr(3) AS p FROM texts
+), places AS (
+  SELECT text, allowed, blocked, substring(p, i, 4) AS gram
+  FROM (SELECT *, unnest(range(1, length(p) - 2)) AS i FROM padded)
+), grams AS (SELECT gram, sum(allowed) AS a, sum(blocked) AS b FROM places GROUP BY gram
+), t1 AS (SELECT right(gram, 1) AS tail, sum(a) AS a, sum(b) AS b FROM grams GROUP BY 1
+), p1 AS (
+  SELECT tail, (a + 4.0 * (1.0::DOUBLE / 256)) / ((SELECT sum(a) FROM grams) + 4.0) AS pa,
+         (b + 4.0 * (1.0::DOUBLE / 256)) / ((SELECT sum(b) FROM grams) + 4.0) AS pb FROM t1
+), t2 AS (SELECT right(gram, 2) AS tail, sum(a) AS a, sum(b) AS b FROM grams GROUP BY 1
+), c2 AS (SELECT substring(right(gram, 2), 1, 1) AS context, sum(a) AS ta, sum(b) AS tb FROM grams GROUP BY 1
+), p2 AS (
+  SELECT t.tail, (a + 4.0 * pa) / (ta + 4.0) AS pa, (b + 4.0 * pb) / (tb + 4.0) AS pb
+  FROM t2 t JOIN c2 ON substring(t.tail, 1, 1) = c2.context JOIN p1 ON right(t.tail, 1) = p1.tail
+), t3 AS (SELECT right(gram, 3) AS tail, sum(a) AS a, sum(b) AS b FROM grams GROUP BY 1
+), c3 AS (SELECT substring(right(gram, 3), 1, 2) AS context, sum(a) AS ta, sum(b) AS tb FROM grams GROUP BY 1
+), p3 AS (
+  SELECT t.tail, (a + 4.0 * pa) / (ta + 4.0) AS pa, (b + 4.0 * pb) / (tb + 4.0) AS pb
+  FROM t3 t JOIN c3 ON substring(t.tail, 1, 2) = c3.context JOIN p2 ON right(t.tail, 2) = p2.tail
+), c4 AS (SELECT substring(gram, 1, 3) AS context, sum(a) AS ta, sum(b) AS tb FROM grams GROUP BY 1
+), model AS (
+  SELECT g.gram, round((ln((a + 4.0 * pa) / (ta + 4.0)) - ln((b + 4.0 * pb) / (tb + 4.0))) * 1000000)::BIGINT AS ratio
+  FROM grams g JOIN c4 ON substring(g.gram, 1, 3) = c4.context JOIN p3 ON right(g.gram, 3) = p3.tail
+), scored AS (
+  SELECT text, any_value(allowed) AS allowed, any_value(blocked) AS blocked,
+         sum(ratio)::DOUBLE / count(*) / 1000000 AS score
+  FROM places JOIN model USING (gram) GROUP BY text
+), bins AS (
+  SELECT floor(score * 1000) AS bin, sum(allowed) AS n FROM scored WHERE allowed > 0 GROUP BY 1
+), cut AS (
+  SELECT min(bin) / 1000 AS threshold
+  FROM (SELECT bin, sum(n) OVER (ORDER BY bin) AS below FROM bins)
+  WHERE below > 0.01 * (SELECT sum(allowed) FROM scored) AND (SELECT sum(blocked) FROM scored) > 0
+)
+SELECT r.page_id, r.host, r.path, r.rule,
+       CASE WHEN r.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block'
+            WHEN s.score < (SELECT threshold FROM cut) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN scored s USING (text)
+"""
+
+ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL, "op9_url_filter": _OP9_SQL}
