@@ -13,6 +13,7 @@ from tallyloom.llm.common import shared_dir
 from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.repetition import repetition
+from tallyloom.llm.secretscan import scan_secrets
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.toxicity import fit, score_documents
 from tallyloom.llm.urls import judge_urls
@@ -52,6 +53,11 @@ def op6_quality_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
 #: Scores from which a document is predicted toxic.
 TOXIC_FROM = 0.7
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op3_pack_tokens": op3_pack_tokens,
     "op5_dedup_lines": op5_dedup_lines,
     "op6_quality_repeats": op6_quality_repeats,
+    "op7_scan_secrets": op7_scan_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
