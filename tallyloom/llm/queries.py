@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.binpack import read_tokens, write_tokens
 from tallyloom.llm.common import shared_dir
+from tallyloom.llm.decontam import contaminated
 from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.repetition import repetition
@@ -43,6 +44,11 @@ def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "words", "distance")
+
+
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -78,6 +84,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_pack_tokens": op3_pack_tokens,
+    "op4_decontaminate": op4_decontaminate,
     "op5_dedup_lines": op5_dedup_lines,
     "op6_quality_repeats": op6_quality_repeats,
     "op7_scan_secrets": op7_scan_secrets,
