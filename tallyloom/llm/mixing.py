@@ -84,7 +84,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count_words(part.column(2)), pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(count_words(part.column(2)), pa.int64())], ["doc_id", "source", "print", "size"])
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, max_repeat: float) -> DataFrame:
@@ -139,19 +139,19 @@ def mix_sources(
     source_col: str = "source",
     window: int = KNAPSACK_WORDS,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source_key, size, source_size, target, copies`` and ``taken``.
+    """One row per document: ``doc_id, print, source_key, size, source_size, target, copies`` and ``taken``.
 
-    ``copies`` is how often the mix takes the document and ``taken`` the words that makes. A null or empty text has
+    ``print`` is a hash of the text, ``copies`` how often the mix takes the document and ``taken`` the words that makes. A null or empty text has
     size 0 and is taken zero times more than its source's whole copies. A null source is a source of its own, after
     all others; a null id ranks like any other value. Rows of the same id are documents of their own. An empty table
     gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("print"))
     id_type = rows.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("source", T.StringType()), T.StructField("size", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("source", T.StringType()), T.StructField("print", T.LongType()), T.StructField("size", T.LongType())])
     key: Column = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
     rank = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    sized = cut(rows.mapInArrow(_sizes, schema).select("doc_id", "size", key.alias("source_key"), rank.alias("rank")))
+    sized = cut(rows.mapInArrow(_sizes, schema).select("doc_id", "print", "size", key.alias("source_key"), rank.alias("rank")))
     sized = sized.withColumn("part", F.pmod("rank", F.lit(RANK_PARTS)).cast("int"))
 
     cells = sized.groupBy("source_key", "size", "part").agg(F.count("*").alias("n"))
@@ -167,10 +167,10 @@ def mix_sources(
         .withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))))
         .select("source_key", "size", "part", "source_size", "target", "copies", "quota")
     )
-    place = Window.partitionBy("source_key", "size", "part").orderBy("rank", "doc_id")
+    place = Window.partitionBy("source_key", "size", "part").orderBy("rank", "doc_id", "print")
     times = F.col("copies") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)
     return (
         sized.withColumn("place", F.row_number().over(place))
         .join(decided, ["source_key", "size", "part"])
-        .select("doc_id", "source_key", "size", "source_size", "target", times.alias("copies"), (F.col("size") * times).alias("taken"))
+        .select("doc_id", "print", "source_key", "size", "source_size", "target", times.alias("copies"), (F.col("size") * times).alias("taken"))
     )

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm.binpack import read_tokens, write_tokens
 from tallyloom.llm.common import shared_dir
 from tallyloom.llm.decontam import contaminated
+from tallyloom.llm.licences import scan_licences
 from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.repetition import repetition
@@ -34,13 +36,9 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Ids of byte_bpe_50k.json.
-VOCABULARY = 50_257
-
-
 def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=VOCABULARY)
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=corpus_pipeline.VOCABULARY)
     return read_tokens(spark, folder)
 
 
@@ -64,15 +62,11 @@ def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
-#: Scores from which a document is predicted toxic.
-TOXIC_FROM = 0.7
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     scored = score_documents(documents, fit(documents, _table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= corpus_pipeline.TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +74,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("agreement", 6).alias("agreement"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
@@ -90,6 +89,8 @@ QUERIES = {
     "op7_scan_secrets": op7_scan_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_scan_licences": op10_scan_licences,
+    "pipeline": corpus_pipeline.run,
 }
 
 _OP5_SQL = """
@@ -174,4 +175,4 @@ SELECT r.page_id, r.host, r.path, r.rule,
 FROM ruled r JOIN scored s USING (text)
 """
 
-ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL, "op9_url_filter": _OP9_SQL}
+ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL, "op9_url_filter": _OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -59,15 +59,15 @@ def _fingerprints(shingle_words: int):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 prints = np.array([fingerprint(t.as_py(), shingle_words) for t in part.column(1)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints.view(np.int64))], ["doc_id", "print", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: every document's fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    """``(doc_id, print, fp)``: every document's fingerprint as a signed long, and a hash of its text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("print"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("print", T.LongType()), T.StructField("fp", T.LongType())])
     return rows.mapInArrow(_fingerprints(shingle_words), schema)
 
 
@@ -104,7 +104,10 @@ def fingerprint_links(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One row per document: ``doc_id, fp, component_id``, the smallest id that links of at most two bits reach.
+    """One row per document: ``doc_id, print, fp, component, component_id``.
+
+    ``component_id`` is the smallest id that links of at most two bits reach, ``component`` the group's own number and
+    ``print`` a hash of the text, which tells rows of one id apart.
 
     Texts are compared by their words in lower case (A-Z). A null, empty or blank text has fingerprint 0 and is linked
     like any other. A null id is kept; its component is named by the smallest id that is not null (null if none is).
@@ -115,5 +118,5 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "d
     joined = connected_components(fingerprint_links(distinct.select("fp"), list_limit))
     linked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_print = linked.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_fingerprint = linked.select("fp", "component").join(named, "component")
+    return prints.join(by_fingerprint, "fp").select("doc_id", "print", "fp", "component", "component_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import text_slices
 
@@ -346,18 +347,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     return train([r.text for r in rows], [r.label for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every document, over all windows of its whole text.
+def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id, score`` of every document, over all windows of its whole text; or the columns ``keep`` and ``_score``.
 
     A null or empty text is one empty window and has a score like any other. Repeated rows and null ids stay. An empty
     table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = [F.col(c) for c in keep] if keep is not None else [F.col(id_col).alias("doc_id")]
+    score = "score" if keep is None else "_score"
+    rows = docs.select(*own, F.col(text_col).alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(sent.value, part.column(1)))], ["doc_id", "score"])
+            for part in text_slices(batch, "_text", 2 << 20):
+                scores = pa.array(score_texts(sent.value, part.column(part.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], [*part.schema.names[:-1], score])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(run, schema)
