@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import text_slices
+from tallyloom.llm.common import frugal, small_batches, text_runs
 
 MAGIC = b"TLPACK01"
 TRAILER = struct.Struct("<IIQQQ")
 BLOCK_IDS = 1 << 14
 END_ID = 0
+#: Bytes of text that are encoded together.
+RUN_BYTES = 8 << 20
 #: Words after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
 MEMO_WORDS = 300_000
 
@@ -258,15 +260,14 @@ def _write(folder: str, tokenizer: str, bits: int, block_ids: int):
         shard, out, writer = TaskContext.get().partitionId(), None, None
         files, base = open_folder(folder)
         name = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.pack"
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                if writer is None:
-                    out = files.open_output_stream(name)
-                    writer = ShardWriter(out, bits, block_ids)
-                ids, bounds = piece_encoder(tokenizer).encode(part.column(1))
-                ended, starts = np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
-                for doc_id, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-                    writer.add(doc_id, ended[a:b])
+        for part in text_runs(batches, "text", RUN_BYTES):
+            if writer is None:
+                out = files.open_output_stream(name)
+                writer = ShardWriter(out, bits, block_ids)
+            ids, bounds = piece_encoder(tokenizer).encode(part.column(1))
+            ended, starts = np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
+            for doc_id, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                writer.add(doc_id, ended[a:b])
         if writer is not None:
             writer.close()
             out.close()
@@ -288,7 +289,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, vocabulary: in
     files, base = open_folder(folder)
     files.create_dir(base)
     shards, start = [], 0
-    for row in sorted(dealt.mapInArrow(_write(folder, tokenizer, bits_for(vocabulary), block_ids), _SHARD).collect()):
+    small_batches(dealt.sparkSession)
+    for row in sorted(dealt.mapInArrow(frugal(_write(folder, tokenizer, bits_for(vocabulary), block_ids)), _SHARD).collect()):
         shards.append({"path": row.path, "documents": row.documents, "ids": row.ids, "start": start})
         start += row.ids
     with files.open_output_stream(f"{base}/manifest.json") as out:
@@ -320,4 +322,4 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         shards = json.loads(file.read())["shards"]
     rows = [(i, s["path"], s["start"]) for i, s in enumerate(shards)]
     listed = spark.createDataFrame(rows, "shard int, path string, start long").repartitionById(max(1, len(rows)), F.col("shard"))
-    return listed.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(frugal(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

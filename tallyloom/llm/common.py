@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows that go to Python together.
+ROWS_PER_BATCH = 512
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
@@ -47,6 +52,46 @@ def broadcast_within(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def release_memory() -> None:
+    """Give freed memory back to the machine: a worker that waits for its next task holds little beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, releasing memory when a partition is over."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send documents to Python a few hundred at a time (a setting of the session): Spark's default of 10,000 rows would
+    hold tens of megabytes of text for each task on both sides, and far more where texts are long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, in runs of about ``most_bytes`` of text; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in text_slices(batch, column, most_bytes):
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + own > most_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts take about ``most_bytes`` together; a longer text stands alone."""
     if not batch.num_rows:

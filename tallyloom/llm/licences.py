@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_slices
+from tallyloom.llm.common import frugal, small_batches, text_slices
 
 # Wording of common licence notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -288,4 +288,5 @@ def scan_licences(docs: DataFrame, model: Classifier | None = None, *, id_col: s
                 text, line, family, chance, held = find(sent.value, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(line), names.take(pa.array(family)), pa.array(chance), pa.array(held)], ["doc_id", "line", "family", "probability", "agreement"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line long, family string, probability double, agreement double")
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line long, family string, probability double, agreement double")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE_BYTES, cut, text_slices
+from tallyloom.llm.common import SPACE_BYTES, cut, frugal, small_batches, text_slices
 
 _SPACE = SPACE_BYTES.decode()
 #: Keys to drop up to which they are sent to every task (24 bytes each); more of them are joined by key.
@@ -53,7 +53,8 @@ def _keys(min_chars: int):
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """``(doc_id, hi, lo)``: each document's distinct line keys; ``docs`` has ``doc_id`` and ``text``."""
-    return docs.select("doc_id", "text").mapInArrow(_keys(min_chars), "doc_id long, hi long, lo long")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(frugal(_keys(min_chars)), "doc_id long, hi long, lo long")
 
 
 class LineRuns:
@@ -201,11 +202,13 @@ def dedup_lines(
         hi = local["hi"].to_numpy(np.int64)
         most = int(np.unique(hi, return_counts=True)[1].max(initial=0))
         known = spark.sparkContext.broadcast((hi, local["lo"].to_numpy(np.int64), local["last"].to_numpy(np.int64), most))
-        return rows.mapInArrow(_drop_known(min_chars, known), _OUT)
+        small_batches(rows.sparkSession)
+        return rows.mapInArrow(frugal(_drop_known(min_chars, known)), _OUT)
     lost = keys.join(gone, KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     listed = lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone")).withColumnRenamed("doc_id", "holder")
     joined = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("holder")), "left")
-    return joined.select("doc_id", "text", "gone").mapInArrow(_drop_listed(min_chars), _OUT)
+    small_batches(joined.sparkSession)
+    return joined.select("doc_id", "text", "gone").mapInArrow(frugal(_drop_listed(min_chars)), _OUT)
 
 
 def dedup_batch(runs: LineRuns, docs: DataFrame, *, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,6 +222,7 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, *, min_chars: int = 40, id_col:
     known = keys.join(runs.fresh(keys.select(*KEY).distinct()), KEY, "left_anti")
     listed = known.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone")).withColumnRenamed("doc_id", "holder")
     joined = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("holder")), "left")
-    out = cut(joined.select("doc_id", "text", "gone").mapInArrow(_drop_listed(min_chars), _OUT))
+    small_batches(joined.sparkSession)
+    out = cut(joined.select("doc_id", "text", "gone").mapInArrow(frugal(_drop_listed(min_chars)), _OUT))
     runs.add(keys)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import count_words, cut, text_slices
+from tallyloom.llm.common import count_words, cut, frugal, small_batches, text_slices
 
 #: Words of a source's budget that the knapsack programme fits; what lies above is allotted in proportion.
 KNAPSACK_WORDS = 1 << 15
@@ -151,7 +151,8 @@ def mix_sources(
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("source", T.StringType()), T.StructField("print", T.LongType()), T.StructField("size", T.LongType())])
     key: Column = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
     rank = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    sized = cut(rows.mapInArrow(_sizes, schema).select("doc_id", "print", "size", key.alias("source_key"), rank.alias("rank")))
+    small_batches(rows.sparkSession)
+    sized = cut(rows.mapInArrow(frugal(_sizes), schema).select("doc_id", "print", "size", key.alias("source_key"), rank.alias("rank")))
     sized = sized.withColumn("part", F.pmod("rank", F.lit(RANK_PARTS)).cast("int"))
 
     cells = sized.groupBy("source_key", "size", "part").agg(F.count("*").alias("n"))

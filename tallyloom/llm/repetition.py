@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE_BYTES, text_bytes, text_slices
+from tallyloom.llm.common import SPACE_BYTES, frugal, small_batches, text_bytes, text_slices
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -173,4 +173,5 @@ def repetition(
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _COLUMNS)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     repeats = (F.col("covered_words") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
-    return rows.mapInArrow(_measures(min_repeat), schema).withColumns({"base_failed": failed, "kept": ~failed & ~repeats})
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(frugal(_measures(min_repeat)), schema).withColumns({"base_failed": failed, "kept": ~failed & ~repeats})

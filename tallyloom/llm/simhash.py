@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import cut, split_words, text_slices
+from tallyloom.llm.common import cut, frugal, small_batches, split_words, text_slices
 from tallyloom.llm.components import connected_components
 
 SEED = 42
@@ -68,7 +68,8 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "doc_
     """``(doc_id, print, fp)``: every document's fingerprint as a signed long, and a hash of its text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("print"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("print", T.LongType()), T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(_fingerprints(shingle_words), schema)
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(frugal(_fingerprints(shingle_words)), schema)
 
 
 def _block(i: int) -> Column:

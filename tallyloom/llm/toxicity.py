@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import text_slices
+from tallyloom.llm.common import frugal, small_batches, text_slices
 
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 96, 72
@@ -360,9 +360,10 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "_text", 2 << 20):
+            for part in text_slices(batch, "_text", 1 << 20):
                 scores = pa.array(score_texts(sent.value, part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], [*part.schema.names[:-1], score])
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(frugal(run), schema)
