@@ -2,8 +2,9 @@
 
 A run is a table of line keys (128-bit hashes), bucketed and sorted by key, with how many documents hold each and the
 largest of their ids. Every batch adds a run to the lowest level; ``fanout`` runs of a level are merged into one of the
-next. Runs share their bucketing, so that merging runs and anti-joining a batch with them are sort-merge joins that
-move only the batch.
+next. Runs share their bucketing, so that anti-joining a batch with them is a sort-merge join that moves only the batch.
+A merge deals the runs out by key again. Spark 4.1 takes a union of bucketed tables for partitioned by key, which it
+isn't, and would leave keys of different runs apart; ``LineRuns`` turns that off for the session.
 """
 
 from __future__ import annotations
@@ -64,15 +65,17 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex}"
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.levels: list[list[str]] = []
         self.made = 0
 
     def _write(self, rows: DataFrame, level: int) -> None:
+        """``rows`` are dealt into ``buckets`` partitions by key."""
         while len(self.levels) <= level:
             self.levels.append([])
         table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
         self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
             self._compact(level)
@@ -87,14 +90,15 @@ class LineRuns:
         rows = self.spark.table(tables[0])
         for table in tables[1:]:
             rows = rows.unionByName(self.spark.table(table))
-        return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        return rows.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def tables(self) -> list[str]:
         return [table for level in self.levels for table in level]
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch's ``(doc_id, hi, lo)`` as a run, and compact the levels that are full."""
-        self._write(keys.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), 0)
+        counted = keys.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+        self._write(counted.repartition(self.buckets, *KEY), 0)
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose key no run holds."""
