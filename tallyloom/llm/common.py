@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as tell it from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no more than its tasks."""
     shared_dir(df.sparkSession)

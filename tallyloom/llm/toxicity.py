@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import frugal, small_batches, text_slices
+from tallyloom.llm.common import frugal, small_batches, text_slices, unused
 
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 96, 72
@@ -347,23 +347,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     return train([r.text for r in rows], [r.label for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """``doc_id, score`` of every document, over all windows of its whole text; or the columns ``keep`` and ``_score``.
+def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``doc_id`` (or the columns ``keep``) and ``score_col`` of every document, over all windows of its whole text.
 
     A null or empty text is one empty window and has a score like any other. Repeated rows and null ids stay. An empty
     table gives no rows.
     """
     own = [F.col(c) for c in keep] if keep is not None else [F.col(id_col).alias("doc_id")]
-    score = "score" if keep is None else "_score"
-    rows = docs.select(*own, F.col(text_col).alias("_text"))
+    text = unused("_text", [*(keep or ["doc_id"]), score_col])
+    rows = docs.select(*own, F.col(text_col).alias(text))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "_text", 1 << 20):
+            for part in text_slices(batch, text, 1 << 20):
                 scores = pa.array(score_texts(sent.value, part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], [*part.schema.names[:-1], score])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], [*part.schema.names[:-1], score_col])
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_col, T.DoubleType())])
     small_batches(rows.sparkSession)
     return rows.mapInArrow(frugal(run), schema)

@@ -16,7 +16,7 @@ from tallyloom.llm import queries
 from tallyloom.llm.toxicity import fit, score_texts
 from tests.llm.conftest import AWKWARD, SMALL
 from tests.llm.test_decontam import slow
-from tests.llm.test_simhash import slow_fingerprint, slow_groups
+from tests.llm.test_similar import slow_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,8 +58,8 @@ def test_one_of_each_group_stays(stages):
     before, after = stages[1]
     rows = texts(before)
     ids = sorted(rows)
-    groups = slow_groups([slow_fingerprint(rows[d]) for d in ids])
-    assert sorted(texts(after)) == sorted({ids[g] for g in groups})
+    groups = slow_components([(d, rows[d]) for d in ids])
+    assert sorted(texts(after)) == sorted(set(groups))
 
 
 def test_contaminated_documents_go(spark, stages):

@@ -114,4 +114,4 @@ def test_awkward_rows_and_empty_tables(spark, awkward, nothing):
     assert tox.score_documents(awkward, untrained).toPandas()["score"].between(0, 1).all()
     assert tox.score_documents(nothing, untrained).count() == 0
     kept = tox.score_documents(awkward, untrained, keep=["doc_id", "text", "source"])
-    assert kept.columns == ["doc_id", "text", "source", "_score"]
+    assert kept.columns == ["doc_id", "text", "source", "score"]
