@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.generate import CATEGORIES, DISTRACTORS, REAL_KINDS, option_id, true_category, uniform
+from tallyloom.operators.split import hash_ranks
 from tallyloom.schema import CHOICE_OPTIONS
 
 
@@ -178,15 +179,19 @@ def drop_distractor(df: DataFrame, seed: int) -> DataFrame:
 
 
 def request_battery(df: DataFrame, group: str, question_id: str, question: str, *, requests: int | None = None, most: int = 8) -> DataFrame:
-    """A group's questions as one request (``group, questions`` map, at most ``most``); repeated in turn up to ``requests``."""
+    """A group's first questions as one request (``group, questions`` map, at most ``most``); repeated in turn up to ``requests``.
+
+    A group's questions are ranked, and only the first ones are gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(question_id, question))
+    first = df.select(group, question_id, question).withColumn("_place", place).where(F.col("_place") <= most)
     listed = F.array_sort(F.collect_list(F.struct(F.col(question_id).alias("k"), F.col(question).alias("v"))))
-    made = df.groupBy(group).agg(listed.alias("q")).select(group, F.map_from_entries(F.slice("q", 1, most)).alias("questions"))
+    made = first.groupBy(group).agg(F.map_from_entries(listed).alias("questions"))
     if requests is None:
         return made
-    numbered = made.withColumn("_i", F.row_number().over(Window.orderBy(group)) - 1)  # one short row per request group
-    n = numbered.count()
-    turns = df.sparkSession.range(requests).select(F.col("id").alias("request"), (F.col("id") % max(1, n)).alias("_i"))
-    return turns.join(numbered, "_i").drop("_i")
+    numbered, n = hash_ranks(made, F.sha2(F.col(group).cast("string"), 256))
+    turns = df.sparkSession.range(requests).select(F.col("id").alias("request"), (F.col("id") % max(1, n)).alias("_rank"))
+    return turns.join(numbered, "_rank").drop("_rank")
 
 
 def donor_accuracy(predictions: DataFrame, original: DataFrame, donor: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import prob
+from tallyloom.operators.split import hash_ranks
 
 #: Groups up to which the numpy draws are made on the driver (4 bytes a draw); beyond it, draws are hashed.
 DRIVER_GROUPS = 20_000
@@ -31,15 +32,13 @@ def numpy_draws(df: DataFrame, group: str, reps: int, seed: int, *, together: bo
 
 
 def hashed_draws(df: DataFrame, group: str, reps: int) -> DataFrame:
-    """``(rep, group, times)`` by ``md5(rep:slot) mod n`` over the sorted groups; made by the executors."""
-    from pyspark.sql import Window
-
+    """``(rep, group, times)`` by ``md5(rep:slot) mod n`` over the groups in hash order; made by the executors."""
     spark = df.sparkSession
-    keys = df.select(group).distinct().withColumn("_i", F.row_number().over(Window.orderBy(group)) - 1)  # one short row per group
-    n = keys.count()
-    slots = spark.range(reps * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("slot")) if n else spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("slot"))
+    ranked, n = hash_ranks(df.select(group).distinct(), F.sha2(F.col(group).cast("string"), 256))
+    slots = spark.range(reps * n).select((F.col("id") / max(1, n)).cast("long").alias("rep"), (F.col("id") % max(1, n)).alias("slot"))
     picked = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "slot")), 1, 8), 16, 10).cast("long") % max(1, n)
-    return slots.select("rep", picked.cast("int").alias("_i")).groupBy("rep", "_i").agg(F.count("*").alias("times")).join(keys, "_i").drop("_i")
+    times = slots.select("rep", picked.alias("_rank")).groupBy("rep", "_rank").agg(F.count("*").alias("times"))
+    return times.join(ranked, "_rank").drop("_rank")
 
 
 def bootstrap(df: DataFrame, group: str, sums: dict[str, tuple[str, str]], draws: DataFrame, *, level: float = 0.95) -> DataFrame:

@@ -9,7 +9,6 @@ from tallyloom import schema as S
 from tallyloom.functions.text import shingles
 
 NEAR, SHINGLE, LISTED = 0.8, 3, 200
-#: Entries up to which a shingle's list of texts is paired within one row; longer ones go through the join alone.
 _ORDER = ("validation", "calibration", "test", "train")
 
 
@@ -17,26 +16,31 @@ def order_key(seed: int, group: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), group.cast("string")), 256)
 
 
+def hash_ranks(groups: DataFrame, key: Column) -> tuple[DataFrame, int]:
+    """``groups`` with ``_rank``, each row's place from 0 in the order of ``key`` (hex digits of a hash), and their number.
+
+    Rows are ranked within 4096 ranges of equal width, whose sizes alone are gathered.
+    """
+    keyed = groups.withColumn("_key", key).withColumn("_p", F.substring("_key", 1, 3))
+    offsets, n = [], 0
+    for row in sorted(keyed.groupBy("_p").count().collect()):
+        offsets.append((row["_p"], n))
+        n += row["count"]
+    before = groups.sparkSession.createDataFrame(offsets, "_p string, _before long")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_key")) + F.col("_before") - 1
+    return keyed.join(F.broadcast(before), "_p").withColumn("_rank", place).drop("_p", "_key", "_before"), n
+
+
 def assign_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
     """``group, split``: groups in hash order, sliced into validation, calibration, test and the rest for training.
 
-    Each slice has ``max(1, round(ratio n))`` groups, half to even; fewer than four groups fail. Groups are ranked by
-    range-partitioned hash order: partition sizes are gathered, not the groups.
+    Each slice has ``max(1, round(ratio n))`` groups, half to even; fewer than four groups fail.
     """
-    groups = df.select(group).distinct().withColumn("_key", order_key(seed, F.col(group)))
-    n = groups.count()
+    ranked, n = hash_ranks(df.select(group).distinct(), order_key(seed, F.col(group)))
     if n < len(S.SPLITS):
         raise ValueError(f"at least {len(S.SPLITS)} groups are needed; there are {n}")
-    prefix = F.substring("_key", 1, 3)  # 4096 ranges of equal width
-    before = {}
-    start = 0
-    for row in sorted(groups.groupBy(prefix.alias("p")).count().collect()):
-        before[row.p], start = start, start + row["count"]
-    offsets = df.sparkSession.createDataFrame(list(before.items()), "_p string, _before long")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_key")) + F.col("_before") - 1
-    ranked = groups.withColumn("_p", prefix).join(F.broadcast(offsets), "_p").withColumn("_rank", rank)  # at most 4096 rows
     sizes = {s: max(1, round(r * n)) for s, r in S.SPLIT_RATIOS.items()}
-    split, end = F.lit("train"), n - (n - sum(sizes.values()))
+    split, end = F.lit("train"), sum(sizes.values())
     for name in reversed(_ORDER[:-1]):
         split = F.when(F.col("_rank") < end, name).otherwise(split)
         end -= sizes[name]

@@ -56,24 +56,26 @@ def record_errors() -> Column:
 
 
 def classify_duplicates(df: DataFrame, key: str, label: str, group: str, ident: str) -> DataFrame:
-    """Rows that share ``key``: ``key, n, ids, kind, level``.
+    """One row per row whose ``key`` others share: ``key, ident, n, kind, level``. Rows of a null key count as sharing it.
 
-    Different labels, and equal labels in different groups, are errors; within one group a warning. ``ids`` are sorted.
+    Different labels, and equal labels in different groups, are errors; within one group a warning. A key's rows are
+    counted, not gathered, so a key may hold any share of the table.
     """
-    grouped = df.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(ident)).alias("ids"), F.count_distinct(F.coalesce(F.col(label).cast("string"), F.lit("\0"))).alias("l"), F.count_distinct(group).alias("g"))
+    grouped = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(label).cast("string"), F.lit("\0"))).alias("l"), F.count_distinct(group).alias("g"))
     kind = F.when(F.col("l") > 1, "labels").when(F.col("g") > 1, "groups").otherwise("within_group")
-    return grouped.where("n > 1").select(key, "n", "ids", kind.alias("kind"), F.when(kind == "within_group", "warning").otherwise("error").alias("level"))
+    shared = grouped.where("n > 1").select(F.col(key).alias("_key"), "n", kind.alias("kind"), F.when(kind == "within_group", "warning").otherwise("error").alias("level"))
+    return df.select(key, ident).join(shared, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def dataset_checks(examples: DataFrame) -> DataFrame:
-    """``check, level, ids``: repeated ids; equal inputs and equal serialisations by what differs; single-class types."""
+    """``check, level, key, id``: repeated ids; equal inputs and equal serialisations by what differs; single-class types."""
     named = labels(examples).join(input_hashes(examples), "id").join(examples.select("id", "group_id", F.col("question.type").alias("type")), "id")
-    repeated = examples.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_id").alias("check"), F.lit("error").alias("level"), F.array("id").alias("ids"))
-    raw = classify_duplicates(named, "model_input", "label", "group_id", "id").select(F.concat(F.lit("same_input_"), "kind").alias("check"), "level", "ids")
+    repeated = examples.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_id").alias("check"), F.lit("error").alias("level"), F.lit(None).cast("string").alias("key"), "id")
+    raw = classify_duplicates(named, "model_input", "label", "group_id", "id").select(F.concat(F.lit("same_input_"), "kind").alias("check"), "level", F.col("model_input").alias("key"), "id")
     alike = named.groupBy("serialized_input").agg(F.count_distinct("model_input").alias("_inputs")).where("_inputs > 1").select("serialized_input")
     same = classify_duplicates(named.join(alike, "serialized_input", "left_semi"), "serialized_input", "semantic_key", "group_id", "id")
-    single = named.groupBy("type").agg(F.count_distinct("description").alias("n")).where("n = 1").select(F.concat(F.lit("single_class_"), "type").alias("check"), F.lit("warning").alias("level"), F.array().cast("array<string>").alias("ids"))
-    return repeated.unionByName(raw).unionByName(same.select(F.concat(F.lit("same_serialisation_"), "kind").alias("check"), "level", "ids")).unionByName(single)
+    single = named.groupBy("type").agg(F.count_distinct("description").alias("n")).where("n = 1").select(F.concat(F.lit("single_class_"), "type").alias("check"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("id"))
+    return repeated.unionByName(raw).unionByName(same.select(F.concat(F.lit("same_serialisation_"), "kind").alias("check"), "level", F.col("serialized_input").alias("key"), "id")).unionByName(single)
 
 
 def counts_by(df: DataFrame, **columns: str | Column) -> DataFrame:

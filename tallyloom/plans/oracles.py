@@ -43,11 +43,11 @@ _SPLIT3 = """CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) < '8' THEN 'train'
 def _duplicates(table: str, label: str, where: str, columns: str) -> str:
     return f"""
 WITH rows AS ({table}), grouped AS (
-  SELECT input, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids,
+  SELECT input, count(*) AS n,
          CASE WHEN count(DISTINCT {label}) > 1 THEN 'labels' WHEN count(DISTINCT source) > 1 THEN 'groups' ELSE 'within_group' END AS kind
   FROM rows GROUP BY input HAVING count(*) > 1
 )
-SELECT {columns} FROM grouped {where}"""
+SELECT {columns} FROM grouped JOIN rows USING (input) {where}"""
 
 
 def _assign(groups: str, group: str, seed: int) -> str:
@@ -108,9 +108,9 @@ FROM orders, unnest(range(5)) AS u(i)"""
 _DOCS = "SELECT doc_id, lang, source, sha256(text) AS input FROM documents"
 
 ORACLES: dict[str, str] = {
-    "duplicate_inputs": _duplicates(_DOCS, "lang", "", "input, n, ids, kind, CASE WHEN kind = 'within_group' THEN 'warning' ELSE 'error' END AS level"),
-    "contradictory_labels": _duplicates("SELECT doc_id, source, sha256(text) AS input, quality FROM documents JOIN labels USING (doc_id)", "quality", "WHERE kind = 'labels'", "input, n, ids"),
-    "duplicates_across_groups": _duplicates(_DOCS, "1", "WHERE kind = 'groups'", "input, n, ids"),
+    "duplicate_inputs": _duplicates(_DOCS, "lang", "", "input, doc_id, n, kind, CASE WHEN kind = 'within_group' THEN 'warning' ELSE 'error' END AS level"),
+    "contradictory_labels": _duplicates("SELECT doc_id, source, sha256(text) AS input, quality FROM documents JOIN labels USING (doc_id)", "quality", "WHERE kind = 'labels'", "input, doc_id, n"),
+    "duplicates_across_groups": _duplicates(_DOCS, "1", "WHERE kind = 'groups'", "input, doc_id, n"),
     "dataset_stats": """
 WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT 'language' AS statistic, lang AS value, count(*) AS n FROM d GROUP BY 2
@@ -219,7 +219,7 @@ WITH {_LABELLED}, g AS (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE A
 ), s AS (SELECT temperature, z / temperature AS s, quality FROM scored, g)
 SELECT 'binary' AS kind, temperature, count(*) AS n, round(avg(greatest(CASE WHEN quality = 1 THEN -s ELSE s END, 0) + ln(1 + exp(-abs(s)))), 6) AS nll FROM s GROUP BY temperature""",
     "bootstrap_hash": f"""
-WITH {_LABELLED}, keys AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM scored)
+WITH {_LABELLED}, keys AS (SELECT source, row_number() OVER (ORDER BY sha256(source)) - 1 AS i FROM (SELECT DISTINCT source FROM scored)
 ), size AS (SELECT count(*) AS n FROM keys
 ), draws AS (
   SELECT rep, ('0x' || substr(md5(rep::VARCHAR || ':' || slot::VARCHAR), 1, 8))::BIGINT % (SELECT n FROM size) AS i

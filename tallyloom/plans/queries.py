@@ -58,23 +58,19 @@ def _by_hash(df: DataFrame, ident: str) -> DataFrame:
     return df.withColumn("split", F.when(digit < "8", "train").when(digit < "c", "validation").otherwise("test"))
 
 
-def _joined_ids(df: DataFrame) -> DataFrame:
-    return df.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
-
-
 def duplicate_inputs(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("input"))
-    return _joined_ids(validate.classify_duplicates(d, "input", "lang", "source", "doc_id"))
+    return validate.classify_duplicates(d, "input", "lang", "source", "doc_id")
 
 
 def contradictory_labels(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("input")).join(_t(spark, sf, "labels"), "doc_id")
-    return _joined_ids(validate.classify_duplicates(d, "input", "quality", "source", "doc_id")).where("kind = 'labels'").select("input", "n", "ids")
+    return validate.classify_duplicates(d, "input", "quality", "source", "doc_id").where("kind = 'labels'").select("input", "doc_id", "n")
 
 
 def duplicates_across_groups(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("input"))
-    return _joined_ids(validate.classify_duplicates(d.withColumn("one", F.lit(1)), "input", "one", "source", "doc_id")).where("kind = 'groups'").select("input", "n", "ids")
+    return validate.classify_duplicates(d.withColumn("one", F.lit(1)), "input", "one", "source", "doc_id").where("kind = 'groups'").select("input", "doc_id", "n")
 
 
 def dataset_stats(spark, sf):

@@ -95,7 +95,8 @@ def test_impact_levels(spark, x, y, m, want):
 def test_duplicates_are_classified(spark):
     rows = [("k1", 0, "g", "1"), ("k1", 1, "g", "2"), ("k2", 0, "g", "3"), ("k2", 0, "h", "4"), ("k3", 0, "g", "5"), ("k3", 0, "g", "6"), ("k4", 0, "g", "7")]
     found = validate.classify_duplicates(spark.createDataFrame(rows, "k string, y int, g string, id string"), "k", "y", "g", "id")
-    assert {r.k: (r.kind, r.level) for r in found.collect()} == {"k1": ("labels", "error"), "k2": ("groups", "error"), "k3": ("within_group", "warning")}
+    want = {"1": ("k1", "labels", "error"), "3": ("k2", "groups", "error"), "5": ("k3", "within_group", "warning")}
+    assert {r.id: (r.k, r.kind, r.level) for r in found.collect()} == want | {str(int(i) + 1): v for i, v in want.items()}
 
 
 def test_semantic_duplicates(spark):
