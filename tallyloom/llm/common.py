@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -62,6 +63,7 @@ def broadcast_within(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 
 def release_memory() -> None:
     """Give freed memory back to the machine: a worker that waits for its next task holds little beside other tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)

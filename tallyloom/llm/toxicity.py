@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import frugal, small_batches, text_slices, unused
+from tallyloom.llm.common import frugal, release_memory, small_batches, text_slices, unused
 
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 96, 72
@@ -344,7 +344,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     some = usable.where("label = 1").orderBy(*order).limit(sample_rows).unionByName(usable.where("label = 0").orderBy(*order).limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text or ""))
-    return train([r.text for r in rows], [r.label for r in rows])
+    model = train([r.text for r in rows], [r.label for r in rows])
+    del rows
+    release_memory()  # the driver goes on to other work
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score") -> DataFrame:
