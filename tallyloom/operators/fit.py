@@ -53,13 +53,16 @@ def bow_logistic(train: DataFrame, features: str, label: str, *, buckets: int =
     from pyspark.ml.classification import LogisticRegression
 
     fit = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=2 * ridge, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9)
-    return fit.fit(train.select(sparse_vector(buckets)(F.col(features)).alias("_v"), F.col(label).cast("double").alias("_y")))
+    return fit.fit(sparse_vectors(train, features, buckets).select("_v", F.col(label).cast("double").alias("_y")))
 
 
-def sparse_vector(buckets: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def sparse_vectors(df: DataFrame, features: str, buckets: int) -> DataFrame:
+    """``df`` with ``_v``, the binary vector of the bucket numbers in ``features``; the buckets are a vocabulary of numbers."""
+    from pyspark.ml.feature import CountVectorizerModel
 
-    return F.udf(lambda ix: SparseVector(buckets, {int(i): 1.0 for i in ix or ()}), VectorUDT())
+    named = df.withColumn("_w", F.transform(F.coalesce(F.col(features), F.array().cast("array<int>")), lambda i: i.cast("string")))
+    numbers = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], inputCol="_w", outputCol="_v", binary=True)
+    return numbers.transform(named).drop("_w")
 
 
 def bow_logits(model, df: DataFrame, features: str, *, buckets: int = BUCKETS) -> DataFrame:
