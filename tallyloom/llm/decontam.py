@@ -105,7 +105,8 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item found in it: ``doc_id, print, item_id, similarity, start, words, distance``.
 
-    ``start`` is the first word of the most similar window (the first of those), ``words`` its length. A text shorter
+    ``start`` is the first word of the most similar window (the first of those that begin with a shingle of the item or
+    end with the document), ``words`` its length. A text shorter
     than the item is one window. Items of fewer than ``shingle_words`` words are one shingle. Items and texts that are
     null or without words match nothing; repeated items count once for each id. Rows of one id and text give the same
     result once; ``print`` (a hash of the text) tells texts of one id apart. A null document id is kept, a null item
