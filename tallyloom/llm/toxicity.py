@@ -8,7 +8,6 @@ them. All of it is trained in numpy, on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import frugal, small_batches, text_slices, unused
+from tallyloom.llm.common import frugal, release_memory, small_batches, text_slices, unused
 
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 96, 72
@@ -336,8 +335,7 @@ def held_out(doc_id) -> bool:
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample_rows`` labelled rows of each class, those of the least hashes among rows not held out.
 
-    A task fits the model, so that the sample never takes the driver's memory. Rows with a null id or label are left
-    out. Without labels the model is as good as untrained.
+    Rows with a null id or label are left out. Without labels the model is as good as untrained.
     """
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
@@ -345,13 +343,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
     some = usable.where("label = 1").orderBy(*order).limit(sample_rows).unionByName(usable.where("label = 0").orderBy(*order).limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
-    found = rows.repartition(1).mapInArrow(frugal(_train), "model binary").first()
-    return pickle.loads(found.model) if found else train([], [])
-
-
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted(((r["doc_id"], r["label"], r["text"] or "", r["text"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[:3])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[3] for r in rows], [r[1] for r in rows]))], pa.binary())], ["model"])
+    found = sorted(((r.doc_id, r.label, r.text or "", r.text) for r in rows.collect()), key=lambda r: r[:3])
+    model = train([r[3] for r in found], [r[1] for r in found])
+    del found
+    release_memory()  # the driver goes on to other work
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score") -> DataFrame:
