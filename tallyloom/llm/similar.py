@@ -1,15 +1,12 @@
 """Near duplicates by word shingles through wide SimHash fingerprints, a byte-position inverted index and verification.
 
 At a similarity of 0.8 some 15 of 100 fingerprint bits differ, so no number of equal bytes is guaranteed by counting
-bits, but by their spread: of a wide fingerprint (four 64-bit ones, 32 positional bytes) similar documents share
-``LEAST_SHARED_BYTES`` at least and differ in no more than ``MOST_BITS``, but for a few in ten thousand. The index posts
-a fingerprint under ``TRIPLES`` of three positional bytes that cover the pairs of bytes evenly, and so finds such a pair
-if one of these triples is shared: of the check tool's near copies, 0.86 of the pairs between 0.8 and 0.85, 0.95 up to
-0.9 and 0.99 above that.
-
-A posting list is not paired off. Its members meet its busiest member, which in a group of copies is the original; the
-lists whose members aren't all of one component by then are gone through again for pairs of different components. Pairs
-within ``MOST_BITS`` are verified by the exact similarity of their shingle sets.
+bits. The index posts wide fingerprints (four 64-bit ones, 32 positional bytes) under ``TRIPLES`` of three positional
+bytes and finds most similar pairs; each list's members meet its busiest member, which in a group of copies is the
+original, and pairs within ``MOST_BITS`` are verified by the exact similarity of their shingle sets.
+
+What the index misses an exact pass finds: similar texts share a shingle in the prefixes of their sets, ordered by the
+number of texts that hold each shingle. Pairs of different components that meet there are verified in the same way.
 """
 
 from __future__ import annotations
@@ -35,6 +32,8 @@ SIMILARITY = 0.8
 WORDS, TRIPLES, LEAST_SHARED_BYTES, MOST_BITS = 4, 128, 3, 64
 #: Texts whose hashes are broadcast to fetch them (some 16 bytes each); more are joined.
 BROADCAST_TEXTS = 500_000
+#: Shingles that are counted together (of some six characters each).
+SHINGLES_PER_PART = 1 << 20
 _F = [f"f{i}" for i in range(WORDS)]
 
 
@@ -154,14 +153,115 @@ def _links(classes: DataFrame, rows: DataFrame, shingle_words: int, similarity:
     met = cut(meeting.select(F.least("class", "h.hub").alias("u"), F.greatest("class", "h.hub").alias("v")).distinct())
     links = _verified(met, rows, shingle_words, similarity)
 
-    joined = connected_components(links).withColumnRenamed("node", "class")
-    crowded = entries.where("n > 2").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = crowded.join(mixed, "key").select("key", "class", "component", *_F)
-    a, b = left.alias("a"), left.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & (_differing([F.col(f"a.{c}") for c in _F], [F.col(f"b.{c}") for c in _F]) <= MOST_BITS)
-    others = a.join(b, apart).select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct()
-    return links.unionByName(_verified(others.join(met, ["u", "v"], "left_anti"), rows, shingle_words, similarity))
+    return links.unionByName(_missed(links, met, rows, shingle_words, similarity))
+
+
+def _packed(part: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """``part``'s values, each with the bytes of its rows of every column."""
+    by = np.argsort(part, kind="stable")
+    parts, starts = np.unique(part[by], return_index=True)
+    bounds = [*starts.tolist(), len(by)]
+    return [pa.array(parts.astype(np.int64)), *(pa.array([c[by[i:j]].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary()) for c in columns)]
+
+
+def _unpacked(table: pa.Table, **columns: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind) for c, kind in columns.items()]
+
+
+def _high_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    return values.view(np.uint64) >> np.uint64(64 - bits)
+
+
+def _shingles(shingle_words: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                sets = [shingle_hashes(t.as_py(), shingle_words) for t in part.column(1)]
+                sets = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]  # texts without words are alike
+                sizes = np.array([len(s) for s in sets], dtype=np.int32)
+                h = np.concatenate(sets)
+                yield pa.RecordBatch.from_arrays(_packed(_high_bits(h, bits), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), h), ["part", "print", "size", "h"])
+
+    return run
+
+
+def _counted(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The shingles that several texts hold, with the number of those texts."""
+        name, size, h = _unpacked(table, print="<i8", size="<i4", h="<u8")
+        by = np.lexsort((name, h))
+        name, size, h = name[by], size[by], h[by]
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+        name, size, h = name[first], size[first], h[first]
+        _, counts = np.unique(h, return_counts=True)
+        n = np.repeat(counts, counts)
+        own = n > 1
+        return pa.Table.from_arrays(_packed(_high_bits(name[own], bits), name[own], size[own], h[own], n[own].astype(np.int64)), ["part", "print", "size", "h", "n"])
+
+    return run
+
+
+def _prefixes(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Each text's shared shingles that are among its first, in the order of the texts that hold them; others' come before."""
+        name, size, h, n = _unpacked(table, print="<i8", size="<i4", h="<u8", n="<i8")
+        by = np.lexsort((h, n, name))
+        name, size, h = name[by], size[by].astype(np.int64), h[by]
+        _, starts, counts = np.unique(name, return_index=True, return_counts=True)
+        place = np.arange(len(name)) + size - np.repeat(starts + counts, counts)
+        kept = size - place >= similarity * size - 1e-9
+        return pa.Table.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(name[kept]), pa.array(place[kept]), pa.array(size[kept])], ["key", "print", "place", "size"])
+
+    return run
+
+
+def prefix_postings(rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``(key, print, place, size)``: every distinct text under the shingles of its prefix that other texts hold too.
+
+    Two similar texts share a shingle in their prefixes: of the shingles in the order of the number of texts that hold
+    them, the first that both hold has at least the wanted overlap from its ``place`` on, in either text.
+    """
+    words = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(16, max(4, int(words // SHINGLES_PER_PART // 6).bit_length()))
+    parted = rows.select("print", "text").mapInArrow(frugal(_shingles(shingle_words, bits)), "part long, print binary, size binary, h binary")
+    counted = parted.groupBy("part").applyInArrow(_counted(bits), "part long, print binary, size binary, h binary, n binary")
+    return counted.groupBy("part").applyInArrow(_prefixes(similarity), "key long, print long, place long, size long")
+
+
+def _missed(links: DataFrame, tried: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The links that the index has not met, exactly: all pairs that share a shingle of their prefixes and lie in different components.
+
+    Each list's members meet its busiest member first, so that a group of copies is of one component when the lists are
+    paired. Of a pair the lesser text has the shingle among its first (1 - s) / (1 + s), which for texts that share a
+    template and fall short of the similarity are their own shingles.
+    """
+    least = 1 + similarity
+    entries = cut(prefix_postings(rows, shingle_words, similarity))
+    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+
+    def enough(a: str, b: str) -> Column:
+        rest = F.least(F.col(f"{a}size") - F.col(f"{a}place"), F.col(f"{b}size") - F.col(f"{b}place"))
+        return rest * least >= similarity * (F.col(f"{a}size") + F.col(f"{b}size")) - 1e-9
+
+    busy = entries.groupBy("print").agg(F.sum("n").alias("met"))
+    hubs = entries.join(busy, "print").groupBy("key").agg(F.max_by(F.struct("print", "place", "size"), F.struct("met", "print")).alias("h"))
+    meeting = entries.join(hubs, "key").where((F.col("print") != F.col("h.print")) & enough("", "h."))
+    met = cut(meeting.select(F.least("print", "h.print").alias("u"), F.greatest("print", "h.print").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
+    found = _verified(met, rows, shingle_words, similarity)
+
+    joined = connected_components(links.unionByName(found)).withColumnRenamed("node", "print")
+    placed = cut(entries.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    left = placed.join(mixed, "key")
+    a = left.alias("a")
+    short = left.where(F.col("place") * least <= F.col("size") * (1 - similarity) + 1e-9)
+    b = short.alias("b")
+    ordered = F.struct("b.size", "b.print") < F.struct("a.size", "a.print")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ordered & enough("a.", "b.")
+    others = a.join(b, apart).select(F.least("a.print", "b.print").alias("u"), F.greatest("a.print", "b.print").alias("v")).distinct()
+    others = others.join(tried.unionByName(met), ["u", "v"], "left_anti")
+    return found.unionByName(_verified(others, rows, shingle_words, similarity))
 
 
 def similar_documents(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,9 +276,9 @@ def similar_documents(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, si
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("print", *_F))])
     small_batches(rows.sparkSession)
     prints = cut(rows.select("doc_id", "text", "print").mapInArrow(frugal(_prints(shingle_words)), schema))
-    classes = cut(prints.groupBy(*_F).agg(F.min("print").alias("class"), F.min("doc_id").alias("first_id")))
+    classes = cut(prints.groupBy("print", *_F).agg(F.min("doc_id").alias("first_id")).withColumnRenamed("print", "class"))
     links = _links(classes.select("class", *_F), rows, shingle_words, similarity)
     joined = connected_components(links).withColumnRenamed("node", "class")
     linked = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(linked.select(*_F, "component").join(named, "component"), _F).select("doc_id", "print", "component", "component_id")
+    return prints.join(linked.select(F.col("class").alias("print"), "component").join(named, "component"), "print").select("doc_id", "print", "component", "component_id")

@@ -109,3 +109,11 @@ def test_awkward_rows_and_an_empty_table(awkward, nothing):
     assert len(same) == 4  # ids 1, 1, 5 and null
     assert (out["component_id"] == 2).sum() == 4  # the texts without words
     assert similar_documents(nothing).count() == 0
+
+
+@pytest.mark.parametrize("words,edits", [(8, 1), (9, 1), (54, 1), (120, 2), (120, 3), (300, 6)])
+def test_every_similar_pair_is_joined(spark, words, edits):
+    """Pairs on both sides of 0.8, of short texts too: exactly the components of all pairs."""
+    rows = near_copies(words + edits, 60, 2, edits, words=words)
+    rows += [(10_000 + i, " ".join(t.split()[1:])) for i, t in rows[: 2 * 30 : 2]]
+    check(spark, rows, 1)
