@@ -32,8 +32,8 @@ SIMILARITY = 0.8
 WORDS, TRIPLES, LEAST_SHARED_BYTES, MOST_BITS = 4, 128, 3, 64
 #: Texts whose hashes are broadcast to fetch them (some 16 bytes each); more are joined.
 BROADCAST_TEXTS = 500_000
-#: Shingles that are counted together (of some six characters each).
-SHINGLES_PER_PART = 1 << 20
+#: Shingles that are counted together (of some six characters each), and members of a list that are paired in one block.
+SHINGLES_PER_PART, LIST_BLOCK = 1 << 20, 1024
 _F = [f"f{i}" for i in range(WORDS)]
 
 
@@ -234,7 +234,7 @@ def _missed(links: DataFrame, tried: DataFrame, rows: DataFrame, shingle_words:
 
     Each list's members meet its busiest member first, so that a group of copies is of one component when the lists are
     paired. Of a pair the lesser text has the shingle among its first (1 - s) / (1 + s), which for texts that share a
-    template and fall short of the similarity are their own shingles.
+    template and fall short of the similarity are their own shingles. Long lists are paired in blocks.
     """
     least = 1 + similarity
     entries = cut(prefix_postings(rows, shingle_words, similarity))
@@ -253,12 +253,12 @@ def _missed(links: DataFrame, tried: DataFrame, rows: DataFrame, shingle_words:
     joined = connected_components(links.unionByName(found)).withColumnRenamed("node", "print")
     placed = cut(entries.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = placed.join(mixed, "key")
-    a = left.alias("a")
+    left = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
+    a = left.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).alias("a")
     short = left.where(F.col("place") * least <= F.col("size") * (1 - similarity) + 1e-9)
-    b = short.alias("b")
+    b = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
     ordered = F.struct("b.size", "b.print") < F.struct("a.size", "a.print")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ordered & enough("a.", "b.")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & ordered & enough("a.", "b.")
     others = a.join(b, apart).select(F.least("a.print", "b.print").alias("u"), F.greatest("a.print", "b.print").alias("v")).distinct()
     others = others.join(tried.unionByName(met), ["u", "v"], "left_anti")
     return found.unionByName(_verified(others, rows, shingle_words, similarity))

@@ -117,3 +117,15 @@ def test_every_similar_pair_is_joined(spark, words, edits):
     rows = near_copies(words + edits, 60, 2, edits, words=words)
     rows += [(10_000 + i, " ".join(t.split()[1:])) for i, t in rows[: 2 * 30 : 2]]
     check(spark, rows, 1)
+
+
+def test_a_template_below_the_similarity_makes_no_pairs(spark, monkeypatch):
+    """Texts that share most of a passage but aren't similar are not paired off, nor is one missed that is similar."""
+    template = " ".join(f"shared{i}" for i in range(120))
+    rows = [(i, template + " " + " ".join(f"own{i}x{j}" for j in range(40))) for i in range(300)]
+    rows.append((1000, rows[7][1] + " end"))
+    asked, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    out = check(spark, rows, 1)
+    assert out[1000] == 7
+    assert sum(asked[1:]) <= 2 * len(rows)
