@@ -129,3 +129,20 @@ def test_a_template_below_the_similarity_makes_no_pairs(spark, monkeypatch):
     out = check(spark, rows, 1)
     assert out[1000] == 7
     assert sum(asked[1:]) <= 2 * len(rows)
+
+
+def test_texts_of_one_fingerprint_are_verified(spark, monkeypatch):
+    """Equal fingerprints make candidates, not links: with a constant one the components are still those of all pairs."""
+
+    def constant(shingle_words):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                zeros = pa.array([0] * b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), zeros, zeros, zeros, zeros], ["doc_id", "print", "f0", "f1", "f2", "f3"])
+
+        return run
+
+    monkeypatch.setattr(similar, "_prints", constant)
+    check(spark, near_copies(11, 15, 2, 2), 1)
