@@ -32,15 +32,21 @@ class Encoding:
     alphabet: str
 
 
-#: Encodings from narrow to wide; a string has the first that it fits. Each needs letters and digits.
+#: Letters from common to rare, so that words are uneven over the cells; random strings are even in any order.
+LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
+#: Encodings from narrow to wide; a string has the first that it fits. Those of one case need letters and digits, the
+#: others both cases: letters of one case alone, or digits alone, are too often words and numbers and aren't tested.
 ENCODINGS = (
     Encoding("hex", r"^(?=[^a-f]*[a-f])(?=[^0-9]*[0-9])[0-9a-f]+$", "0123456789abcdef"),
     Encoding("hex", r"^(?=[^A-F]*[A-F])(?=[^0-9]*[0-9])[0-9A-F]+$", "0123456789ABCDEF"),
     Encoding("base32", r"^(?=[^A-Z]*[A-Z])(?=[^2-7]*[2-7])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    Encoding("base64", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    Encoding("base64", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    Encoding("base32", r"^(?=[^a-z]*[a-z])(?=[^2-7]*[2-7])[a-z2-7]+=*$", LETTERS + "234567"),
+    Encoding("base36", r"^(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[a-z0-9]+=*$", LETTERS + "0123456789"),
+    Encoding("base36", r"^(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])[A-Z0-9]+=*$", LETTERS.upper() + "0123456789"),
+    Encoding("base64", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    Encoding("base64", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Cells of the chi-squared test; every alphabet divides into them evenly.
+#: Cells of the chi-squared test; where an alphabet divides into them unevenly, each expects its share of the symbols.
 CELLS = 8
 #: Upper ends of the length classes, and the share of false rejections within a class.
 LENGTHS = (24, 32, 48, 64, 128)
@@ -120,9 +126,10 @@ def randomness(token: Column) -> Column:
 
 def _class_and_step(encoding: Column, codes: Column, size: Column) -> Column:
     n = F.size(codes).cast("double")
-    expected, freedom = n / CELLS, CELLS - 1
-    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda cell: F.size(F.filter(codes, lambda c: F.floor(c * CELLS / size) == cell)).cast("double"))
-    chi = F.aggregate(cells, F.lit(0.0), lambda s, c: s + (c - expected) * (c - expected) / expected)
+    freedom = CELLS - 1
+    symbols = lambda cell: F.ceil((cell + 1) * size / CELLS) - F.ceil(cell * size / CELLS)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda cell: F.struct(F.size(F.filter(codes, lambda c: F.floor(c * CELLS / size) == cell)).cast("double").alias("held"), (n * symbols(cell) / size).alias("expected")))
+    chi = F.aggregate(cells, F.lit(0.0), lambda s, c: s + (c["held"] - c["expected"]) * (c["held"] - c["expected"]) / c["expected"])
     uniform = _upper((F.cbrt(chi / freedom) - (1 - 2 / (9 * freedom))) / (2 / (9 * freedom)) ** 0.5)
 
     neighbours = F.sequence(F.lit(2), F.size(codes))

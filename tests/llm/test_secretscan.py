@@ -105,3 +105,24 @@ def test_awkward_rows_and_an_empty_table(awkward, nothing):
     out = scan_secrets(awkward).toPandas()
     assert len(out) == 12 and (out["spans"] == "").all()
     assert scan_secrets(nothing).count() == 0
+
+
+def test_every_random_string_is_found(spark):
+    """Nothing drawn is left out: keys of one case with digits, and of both cases with and without digits."""
+    rng = random.Random(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"lower": lower + digits, "upper": lower.upper() + digits, "low32": lower + "234567", "base62": lower + lower.upper() + digits, "letters": lower + lower.upper()}
+    rows, kind = [], []
+    for name, alphabet in alphabets.items():
+        for n in (20, 24, 40, 64):
+            for _ in range(40):
+                kind.append((name, n))
+                rows.append((len(rows), "see " + "".join(rng.choice(alphabet) for _ in range(n)) + " here"))
+    words = ["international", "configuration", "handler", "registration", "department", "management", "information"]
+    names = [(len(rows) + i, "see " + "".join(rng.choices(words, k=4)) + str(i % 10) + " here") for i in range(200)]
+    out = {r.doc_id: r.n_random for r in scan_secrets(spark.createDataFrame(rows + names, "doc_id long, text string")).collect()}
+    found = {}
+    for i, k in enumerate(kind):
+        found.setdefault(k, []).append(out[i])
+    assert {k: sum(v) for k, v in found.items() if sum(v) < 0.85 * len(v)} == {}
+    assert sum(out[i] for i, _ in names) <= 0.1 * len(names)
