@@ -28,7 +28,9 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int
     """How many documents of each length to take so that their words come as near below ``budget`` as can be found.
 
     All but ``window`` words are allotted in proportion to the counts (longest first, each step mending the rounding
-    of those before it); a bounded knapsack over what is left of each length then fits the rest.
+    of those before it, and none beyond the budget); a bounded knapsack over what is left of each length then fits the
+    rest. A budget within the window is fitted by the knapsack alone, which reaches the best sum. Beyond it the words
+    that are missed are fewer than the shortest length of which a document is left.
     """
     sizes, counts = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     taken = np.zeros(len(sizes), dtype=np.int64)
@@ -44,7 +46,7 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int
         if size == 0:
             continue
         ideal += size * count * share
-        taken[i] = min(count, max(0, round((ideal - got) / size)))
+        taken[i] = min(count, max(0, round((ideal - got) / size)), (budget - got) // size)
         got += size * int(taken[i])
     return taken + knapsack(sizes, counts - taken, budget - got)
 
@@ -143,8 +145,10 @@ def mix_sources(
 
     ``print`` is a hash of the text, ``copies`` how often the mix takes the document and ``taken`` the words that makes. A null or empty text has
     size 0 and is taken zero times more than its source's whole copies. A null source is a source of its own, after
-    all others; a null id ranks like any other value. Rows of the same id are documents of their own. An empty table
-    gives no rows; other columns are not read.
+    all others; a null id ranks like any other value. Rows of the same id are documents of their own. Documents of one
+    length are taken in the order of a seeded hash of their ids, ties by id and text. A text of any length is one of
+    its length; one longer than what is left of its source's target is taken only with whole copies. An empty table
+    gives no rows; other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("print"))
     id_type = rows.schema["doc_id"].dataType

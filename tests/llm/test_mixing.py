@@ -39,7 +39,18 @@ def test_fit_stays_within_the_budget(cells, budget, window):
     sizes, counts = (np.array(x, dtype=np.int64) for x in zip(*cells))
     taken = fit_lengths(sizes, counts, budget, window)
     assert (taken >= 0).all() and (taken <= counts).all()
-    assert (taken * sizes).sum() <= max(budget, 0)
+    got = int((taken * sizes).sum())
+    assert got <= max(budget, 0)
+    left = sizes[(taken < counts) & (sizes > 0)]
+    assert not len(left) or budget - got < left.min()
+    if budget <= window:
+        assert got == best_sum(sizes.tolist(), counts.tolist(), budget)
+
+
+def test_documents_beyond_the_window():
+    """Documents longer than the window are rounded down, never over the budget."""
+    assert fit_lengths([100_000], [10], 490_000).tolist() == [4]
+    assert fit_lengths([100_000, 30, 7], [10, 2000, 5000], 490_001).dot([100_000, 30, 7]) == 490_001
 
 
 def water_fill(sizes, weights, share, most):
