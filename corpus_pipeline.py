@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.binpack import read_tokens, write_tokens
@@ -39,7 +39,11 @@ def _with(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> tuple[Da
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below ``TOXIC_FROM``. The model learns from the labelled rows of ``docs``."""
+    """Documents that the toxicity model scores below ``TOXIC_FROM``. The model learns from the labelled rows of ``docs``.
+
+    Null and empty texts have a score like any other, equal rows the same one; an empty table gives no rows. A text of
+    any length is scored over all its windows.
+    """
     score = unused("_score", docs.columns)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model, keep=docs.columns, score_col=score).where(F.col(score) < TOXIC_FROM).drop(score)
@@ -47,7 +51,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, a similarity of 0.8 or more), the one of the
-    smallest id (of rows that share it, one)."""
+    smallest id (of rows that share it, one).
+
+    Null, empty and blank texts are one group. A group of null ids alone keeps one of its rows.
+    """
     first = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = first.groupBy("component", "doc_id", "print").agg(F.count("*").alias("rows"))
     kept = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "print", "rows"), "print").alias("k")).select("k.*")
@@ -57,22 +64,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts hold none, and equal rows go or stay together."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     clean, columns = _with(docs, found.select("doc_id", "print").distinct(), "left_anti")
     return clean.select(columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that the mix leaves out goes. Equal rows are taken alike."""
-    times = mix_sources(docs).groupBy("doc_id", "print").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    """Each document as often as the mix takes it; one that the mix leaves out goes.
+
+    Null and empty texts have no words and are repeated with their whole source only. Rows of one id and text share the
+    copies that the mix takes of them, each as many as any other or one more.
+    """
+    times = mix_sources(docs).groupBy("doc_id", "print").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     joined, columns = _with(docs, times)
-    each = unused("_each", docs.columns)
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), "decided_copies")).alias(each)).drop(each)
+    own, each = unused("_own", docs.columns), unused("_each", docs.columns)
+    among = F.row_number().over(Window.partitionBy("decided_doc_id", "decided_print").orderBy(F.xxhash64(*columns)))
+    share = F.floor(F.col("decided_copies") / F.col("decided_rows")) + (among <= F.col("decided_copies") % F.col("decided_rows")).cast("long")
+    single = joined.where("decided_rows = 1").select(*columns, F.col("decided_copies").alias(own))
+    equal = joined.where("decided_rows > 1").select(*columns, share.alias(own))
+    taken = single.unionByName(equal).where(F.col(own) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), own)).alias(each)).drop(each)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as packed token ids; returns what is read back of every document: id, start, tokens, checksum."""
+    """The corpus as packed token ids; returns what is read back of every document: id, start, tokens, checksum.
+
+    A null or empty text is the end id alone; repeated rows are documents of their own; null ids come last.
+    """
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=VOCABULARY)
     return read_tokens(spark, folder)
