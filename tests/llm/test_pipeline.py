@@ -80,10 +80,19 @@ def test_sources_come_near_their_targets(stages):
     assert abs(got - 1.5 * total) <= len(set(source.values())) * max(size.values())
 
 
+def test_equal_rows_share_their_copies(spark):
+    rows = [(i // 4, "word " * (1 + i // 4 % 5), "hot" if i % 40 else "cold") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter((r.doc_id, r.source) for r in corpus_pipeline.mix(spark, docs, SMALL).collect())
+    words = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum((1 + d % 5) * n for (d, _), n in taken.items()) - 1.5 * words) <= 10
+    for d in range(100):
+        assert sum(taken[d, s] for s in ("hot", "cold")) in range(4, 9)
+
+
 def test_tokens_are_the_last_input(stages):
     before, after = stages[4]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, expected = 0, []
     for r in sorted(before.collect(), key=lambda r: (r.doc_id, r.text or "")):
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
