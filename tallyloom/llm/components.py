@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut
+from tallyloom.operators.skew import join_uneven
 
+#: Links up to which the nodes' least neighbours are broadcast (at most two rows a link, some 16 bytes each).
+BROADCAST_LINKS = 200_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _joined(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """``rows`` with their node's least neighbour. A star's centre is one key of many rows, so it is never shuffled by."""
+    return rows.join(F.broadcast(least.drop("held")), "u") if links <= BROADCAST_LINKS else join_uneven(rows, least, "u", "held", 2 * links)
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node around it. A node's links are never gathered: its least neighbour is an aggregate, joined back."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count_if(F.col("v") > F.col("u")).alias("held"))
+    return _joined(both.where(F.col("v") > F.col("u")), least, n).select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("least"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("held"))
+    moved = _joined(down, least, n).where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.unionByName(least.select("u", F.col("least").alias("v")))
 
 
@@ -38,5 +47,5 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = state
-        now = cut(_small_star(_large_star(now)).distinct())
+        now = cut(_small_star(_large_star(now, state[0]), state[0]).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,15 +1,14 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint is eight positional bytes. Fingerprints that differ in at most two bits share at least six of them,
-hence at least two of the four two-byte blocks. The inverted index therefore posts each fingerprint under its six
-pairs of blocks (four positional bytes each): two fingerprints within the radius meet in one posting list at least.
-Pairs that meet are tallied by the positional bytes they share; those that reach the guaranteed minimum of six are
-verified by their differing bits.
-
-A posting list longer than ``list_limit`` is not paired off. Each fingerprint in such a list posts itself under every
-value within one bit of it (65 rows): two values are within two bits exactly if some value is within one bit of both,
-so fingerprints that meet there are linked, and linking them to the least of the (at most 65) values that meet keeps
-the components exact with rows in proportion to the list.
+A fingerprint is eight positional bytes. Fingerprints that differ in at most two bits share at least six of them, the
+guaranteed minimum. The inverted index posts each fingerprint under all 28 choices of six positional bytes, so that two
+fingerprints meet exactly if they share six, in as many lists as there are such choices. For each pair that meets the
+positions of its lists are tallied; pairs of six or more are verified by their differing bits.
+
+A posting list holds one fingerprint for every value of the two other bytes at most. One of more than ``list_limit`` is
+posted once more: each of its fingerprints under the values within one bit of its two other bytes (17 rows). Two are
+within two bits exactly if some value is within one bit of both, so the (at most 17) fingerprints that meet there are
+linked to the least of them, which keeps the components exact with rows in proportion to the list.
 """
 
 from __future__ import annotations
@@ -26,12 +25,13 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import cut, frugal, small_batches, split_words, text_slices
 from tallyloom.llm.components import connected_components
+from tallyloom.operators.skew import join_uneven
 
 SEED = 42
 RADIUS = 2
 #: Positional bytes that two fingerprints within the radius share at least.
 LEAST_SHARED_BYTES = 8 - RADIUS
-#: Entries up to which a posting list is paired off; longer lists meet in one-bit neighbourhoods.
+#: Entries up to which a posting list is paired off; longer lists are posted once more.
 LIST_LIMIT = 32
 #: Shingles hashed at once, so that a very long text takes bounded memory.
 CHUNK = 1 << 16
@@ -72,34 +72,42 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "doc_
     return rows.mapInArrow(frugal(_fingerprints(shingle_words)), schema)
 
 
-def _block(i: int) -> Column:
-    return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
+#: The pairs of positions that a posting leaves out, the mask of the other six bytes, and these positions as bits.
+_LEFT_OUT = [(i, j) for i in range(8) for j in range(i + 1, 8)]
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes are equal."""
-    differing = a.bitwiseXOR(b)
-    equal = [F.when(F.shiftrightunsigned(differing, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for i in range(8)]
-    return sum(equal[1:], equal[0])
+def _signed(value: int) -> Column:
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
+def _byte(value: Column, i: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, 8 * i).bitwiseAND(F.lit(0xFF))
+
+
+def postings(prints: DataFrame) -> DataFrame:
+    """``(fp, choice, six)``: every fingerprint under each choice of six positional bytes."""
+    choices = [F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(_signed(~(0xFF << 8 * i | 0xFF << 8 * j) & (1 << 64) - 1)).alias("six")) for n, (i, j) in enumerate(_LEFT_OUT)]
+    return prints.select("fp", F.explode(F.array(*choices)).alias("p")).select("fp", "p.choice", "p.six")
 
 
 def fingerprint_links(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """``(u, v)`` links whose components are those of all pairs of ``fp`` within two differing bits; ``fp`` is distinct."""
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(_block(i), 16)).bitwiseOR(_block(j)) for n, (i, j) in enumerate(pairs)]
-    postings = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = cut(postings.join(shared, "key"))
-
-    lists = listed.where(F.col("n") <= list_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    met = lists.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v")).where("u > v")
-    tallied = met.where(_shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED_BYTES)
+    lists = postings(prints).groupBy("choice", "six").agg(F.collect_list("fp").alias("fps"))  # at most 65,536 each
+    lists = cut(lists.where(F.size("fps") > 1))
+    positions = F.element_at(F.array(*[F.lit(0xFF & ~(1 << i | 1 << j)) for i, j in _LEFT_OUT]), F.col("choice") + 1)
+
+    short = lists.where(F.size("fps") <= list_limit).select(positions.alias("shared"), "fps")
+    met = short.select("shared", F.explode("fps").alias("u"), "fps").select("shared", "u", F.explode("fps").alias("v")).where("u > v")
+    tallied = met.groupBy("u", "v").agg(F.bit_or("shared").alias("shared")).where(F.bit_count("shared") >= LEAST_SHARED_BYTES)
     near = tallied.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    crowded = listed.where(F.col("n") > list_limit).select("fp").distinct()
-    around = crowded.select("fp", F.explode(F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("value"))
-    centres = around.groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 each
+    low = F.element_at(F.array(*[F.lit(i) for i, _ in _LEFT_OUT]), F.col("choice") + 1)
+    high = F.element_at(F.array(*[F.lit(j) for _, j in _LEFT_OUT]), F.col("choice") + 1)
+    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
+    crowded = lists.where(F.size("fps") > list_limit).select("choice", "six", low.alias("low"), high.alias("high"), F.explode("fps").alias("fp"))
+    own = (_byte(F.col("fp"), F.col("low")) * 256 + _byte(F.col("fp"), F.col("high"))).cast("int")
+    around = crowded.withColumn("own", own).select("choice", "six", "fp", F.explode(F.transform(flips, lambda bit: F.col("own").bitwiseXOR(bit))).alias("value"))
+    centres = around.groupBy("choice", "six", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # at most 17 each
     hubs = centres.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u != v")
     return near.select("u", "v").unionByName(hubs)
 
@@ -111,13 +119,15 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, id_col: str = "d
     ``print`` a hash of the text, which tells rows of one id apart.
 
     Texts are compared by their words in lower case (A-Z). A null, empty or blank text has fingerprint 0 and is linked
-    like any other. A null id is kept; its component is named by the smallest id that is not null (null if none is).
-    Repeated rows stay. An empty table gives no rows; other columns are not read.
+    like any other; a text of any length is read whole. A null id is kept; its component is named by the smallest id
+    that is not null (null if none is). Repeated rows stay. An empty table gives no rows; other columns are not read,
+    whatever their names.
     """
     prints = cut(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rows = prints.count()
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held")))
     joined = connected_components(fingerprint_links(distinct.select("fp"), list_limit))
     linked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fingerprint = linked.select("fp", "component").join(named, "component")
-    return prints.join(by_fingerprint, "fp").select("doc_id", "print", "fp", "component", "component_id")
+    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    by_fingerprint = join_uneven(linked.select("fp", "held", "component"), named, "component", "members", rows)
+    return join_uneven(prints, by_fingerprint, "fp", "held", rows).select("doc_id", "print", "fp", "component", "component_id")

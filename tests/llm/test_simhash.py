@@ -1,13 +1,15 @@
 """SimHash groups against fingerprints bit by bit and all pairs."""
 
 import re
+from collections import Counter
 
 import pytest
 import xxhash
 
+from tallyloom.llm import components
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.queries import op2_simhash_groups
-from tallyloom.llm.simhash import fingerprint, fingerprint_links, near_duplicates
+from tallyloom.llm.simhash import fingerprint, fingerprint_links, near_duplicates, postings
 from tests.llm.conftest import SMALL
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,7 +60,7 @@ def test_more_than_a_chunk_of_shingles():
 
 @pytest.mark.parametrize("limit", [1, 3, 32])
 def test_links_have_the_components_of_all_pairs(spark, limit):
-    """Long posting lists meet in one-bit neighbourhoods; whatever the limit, the components are those of all pairs."""
+    """Long posting lists are posted once more; whatever the limit, the components are those of all pairs."""
     base = [0x0123456789ABCDEF, 0xFEDCBA9876543210, 0]
     prints = {b ^ (1 << i) ^ (1 << j) for b in base for i in range(0, 64, 7) for j in range(0, 64, 9)}
     prints |= {base[0] ^ 0b1110000 ^ (1 << i) for i in range(20, 40)}
@@ -79,6 +81,23 @@ def test_components_of_a_long_path(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_postings_meet_where_six_bytes_are_shared(spark):
+    prints = [0x1122334455667788, 0x11223344556677FF, 0x1122334455FF77FF, 0xFF22334455FF77FF, -1]
+    rows = postings(spark.createDataFrame([(p,) for p in prints[:3]] + [(prints[3] - (1 << 64),), (-1,)], "fp long")).collect()
+    lists = {(r.choice, r.six): [] for r in rows}
+    for r in rows:
+        lists[r.choice, r.six].append(prints.index(r.fp if r.fp in prints else r.fp + (1 << 64)))
+    met = Counter(frozenset((a, b)) for own in lists.values() for a in own for b in own if a < b)
+    assert met == {frozenset(k): n for k, n in (((0, 1), 7), ((0, 2), 1), ((1, 2), 7), ((1, 3), 1), ((2, 3), 7))}
+
+
+def test_stars_whose_centre_is_a_heavy_key(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_LINKS", 0)
+    links = spark.range(1, 1500).selectExpr("if(id < 1200, 5000L, 6000L) AS u", "id AS v").unionByName(spark.createDataFrame([(5000, 6001), (6001, 6002)], "u long, v long"))
+    found = {r.node: r.component for r in connected_components(links).collect()}
+    assert found == {n: 1 if n < 1200 or n in (5000, 6001, 6002) else 1200 for n in [*range(1, 1500), 5000, 6000, 6001, 6002]}
+
+
 def test_awkward_rows_and_an_empty_table(awkward, nothing):
     out = near_duplicates(awkward).toPandas()
     assert len(out) == 12
