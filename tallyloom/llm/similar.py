@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import broadcast_within, cut, frugal, small_batches, split_words, text_slices
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.simhash import CHUNK, SEED
+from tallyloom.operators.skew import join_salted, join_uneven
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -134,9 +135,11 @@ def _similar(shingle_words: int, similarity: float):
 def _verified(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """The ``pairs (u, v)`` of text hashes whose texts are similar."""
     pairs = cut(pairs)
+    total = pairs.count()
     wanted, _ = broadcast_within(pairs.select(F.col("u").alias("print")).unionByName(pairs.select(F.col("v").alias("print"))).distinct(), BROADCAST_TEXTS)
     texts = cut(rows.select("print", "text").join(wanted, "print", "left_semi").dropDuplicates(["print"]))
-    both = pairs.join(texts.select(F.col("print").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("print").alias("v"), F.col("text").alias("b")), "v")
+    left = join_salted(pairs, texts.select(F.col("print").alias("u"), F.col("text").alias("a")), "u", F.xxhash64("v"), total)
+    both = join_salted(left, texts.select(F.col("print").alias("v"), F.col("text").alias("b")), "v", F.xxhash64("u"), total)
     return cut(both.select("u", "v", "a", "b").mapInArrow(frugal(_similar(shingle_words, similarity)), "u long, v long"))
 
 
@@ -276,9 +279,11 @@ def similar_documents(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, si
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("print", *_F))])
     small_batches(rows.sparkSession)
     prints = cut(rows.select("doc_id", "text", "print").mapInArrow(frugal(_prints(shingle_words)), schema))
-    classes = cut(prints.groupBy("print", *_F).agg(F.min("doc_id").alias("first_id")).withColumnRenamed("print", "class"))
+    classes = cut(prints.groupBy("print", *_F).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held")).withColumnRenamed("print", "class"))
+    total = prints.count()
     links = _links(classes.select("class", *_F), rows, shingle_words, similarity)
     joined = connected_components(links).withColumnRenamed("node", "class")
-    linked = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(linked.select(F.col("class").alias("print"), "component").join(named, "component"), "print").select("doc_id", "print", "component", "component_id")
+    linked = classes.join(joined, "class", "left").select(F.col("class").alias("print"), "held", "first_id", F.coalesce("component", "class").alias("component"))
+    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    by_text = join_uneven(linked.select("print", "held", "component"), named, "component", "members", total)
+    return join_uneven(prints.select("doc_id", "print"), by_text, "print", "held", total).select("doc_id", "print", "component", "component_id")
