@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -43,10 +44,12 @@ MAGIC = b"TLPACK01"
 TRAILER = struct.Struct("<IIQQQ")
 BLOCK_IDS = 1 << 14
 END_ID = 0
-#: Bytes of text that are encoded together.
-RUN_BYTES = 8 << 20
+#: Bytes of text whose words are looked up together, and words whose ids are put together (a longer text stands alone).
+RUN_BYTES, RUN_WORDS = 2 << 20, 1 << 15
+#: New words that are given to the tokenizer at once, which takes some hundred bytes for each of their bytes.
+FRESH_WORDS = 1 << 12
 #: Words after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 80_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -153,13 +156,13 @@ class ShardReader:
 
 
 class PieceEncoder:
-    """A byte-level tokenizer with a memory of words, kept for the worker's life.
+    """A byte-level tokenizer with a memory of frequent words, kept for the worker's life.
 
     The tokenizer never joins what stands before a single space with what follows it, and how it splits before the
     space doesn't depend on the other side. So a text whose spaces touch no other white space is the sequence of its
     first word and of its other words with a space before each; most have been met before. New words go to the
     tokenizer as one text: each begins at a token that begins with the space, and has no other such token. Any other
-    text is given to it whole.
+    text is given to it whole, and so is one in which a special token is named, which the tokenizer takes for the token.
     """
 
     def __init__(self, path: str) -> None:
@@ -167,7 +170,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(map(re.escape, named)) if named else r"(?!)")
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
@@ -177,69 +181,102 @@ class PieceEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it."""
+    def _spaced(self, words: list[str], often: np.ndarray) -> list[bytes]:
+        """The ids of each word with a space before it; those met ``often`` are remembered."""
         if len(self.recent) > MEMO_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
+        pieces = list(map(recent.get, words))
         fresh = []
-        for word in words:
-            if word not in recent:
-                if (known := older.get(word)) is not None:
-                    recent[word] = known
+        for i, piece in enumerate(pieces):
+            if piece is None:
+                word = words[i]
+                if (piece := older.get(word)) is not None:
+                    pieces[i] = recent[word] = piece
                 else:
-                    fresh.append(word)
-        if fresh:
-            data = self._batch([" " + " ".join(fresh)])[0]
+                    fresh.append(i)
+        for start in range(0, len(fresh), FRESH_WORDS):
+            own = fresh[start : start + FRESH_WORDS]
+            data = self._batch([" " + " ".join([words[i] for i in own])])[0]
             starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, dtype="<u4")])).tolist()
             starts.append(len(data))
-            recent.update(zip(fresh, [data[a:b] for a, b in zip(starts, starts[1:])], strict=True))
-        return list(map(recent.__getitem__, words))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each text's ids begin and end; as the tokenizer gives them for whole texts."""
+            for i, a, b in zip(own, starts[:-1], starts[1:], strict=True):
+                pieces[i] = data[a:b]
+                if often[i]:
+                    recent[words[i]] = pieces[i]
+        return pieces
+
+    def _edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words begin with white space, which end with it (an empty one does both), and which name a special token."""
+        opens, closes, named = (np.zeros(len(words), dtype=bool) for _ in range(3))
+        long = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        bare = np.fromiter(map(len, map(str.strip, words)), dtype=np.int64, count=len(words))
+        for i in np.flatnonzero((long != bare) | (long == 0)).tolist():
+            opens[i], closes[i] = not words[i] or words[i][0].isspace(), not words[i] or words[i][-1].isspace()
+        named[[i for i, found in enumerate(map(self.marks.search, words)) if found]] = True
+        return opens, closes, named
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In runs of whole texts, in order: all ids end to end, and where each text's ids begin and end; as the
+        tokenizer gives them for whole texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
-            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+            return
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        del lists
+        place, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del coded
         bounds = bounds - bounds[0]
         first, last = bounds[:-1], bounds[1:] - 1
 
-        opens = np.fromiter((w == "" or w[0].isspace() for w in words), dtype=bool, count=len(words))[place]
-        closes = np.fromiter((w == "" or w[-1].isspace() for w in words), dtype=bool, count=len(words))[place]
+        opens, closes, named = self._edges(words)
+        opens, closes = opens[place], closes[place]
         opens[first] = False
         closes[last] = False
-        whole = np.logical_or.reduceat(opens | closes, first)
+        opens |= closes
+        if named.any():
+            opens |= named[place]
+        whole = np.logical_or.reduceat(opens, first)
+        del opens, closes
 
         later = np.ones(len(place), dtype=bool)
         later[first] = False
         later &= ~np.repeat(whole, np.diff(bounds))
-        used = np.unique(place[later])
-        pieces = self._spaced([words[i] for i in used])
-        slot = np.zeros(len(words), dtype=np.int64)
+        times = np.bincount(place[later], minlength=len(words))
+        used = np.flatnonzero(times)
+        pieces = self._spaced([words[i] for i in used], times[used] > 1)
+        slot = np.zeros(len(words), dtype=np.int32)
         slot[used] = np.arange(len(used))
-        place = slot[place]
-        heads = sorted({words[i] for i in coded.indices.to_numpy()[first[~whole]]})
+        heads = sorted({words[i] for i in place[first[~whole]]})
         slots = {w: len(pieces) + k for k, w in enumerate(heads)}
         pieces += self._batch(heads)
-        entire = np.flatnonzero(whole)
-        place[first] = [slots.get(words[i], 0) for i in coded.indices.to_numpy()[first]]
-        place[first[entire]] = len(pieces) + np.arange(len(entire))
-        pieces += self._batch([texts[int(i)].as_py() for i in entire])
-
-        later[first] = True  # now: the pieces that count
-        place = place[later]
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        begins = np.cumsum(sizes) - sizes
+        opening = [slots.get(words[i], 0) for i in place[first]]
+        place = slot[place]
+        place[first] = opening
+        del words
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
         flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        lengths = sizes[place]
-        ends = np.cumsum(lengths)
-        ids = flat[np.arange(ends[-1]) + np.repeat(begins[place] - ends + lengths, lengths)]
-        kept = np.concatenate([[0], np.cumsum(later)])[bounds]
-        return ids, np.concatenate([[0], ends])[kept]
+        del pieces
+
+        text = 0
+        while text < len(texts):
+            if whole[text]:
+                ids = np.frombuffer(self._batch([texts[text].as_py()])[0], dtype="<u4")
+                yield ids, np.array([0, len(ids)], dtype=np.int64)
+                text += 1
+                continue
+            stop = text + 1
+            while stop < len(texts) and not whole[stop] and bounds[stop + 1] - bounds[text] <= RUN_WORDS:
+                stop += 1
+            own = place[bounds[text] : bounds[stop]]
+            lengths = sizes[own]
+            ends = np.cumsum(lengths, dtype=np.int64)
+            ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(begins[own] - (ends - lengths).astype(np.int32), lengths)]
+            yield ids, np.concatenate([[0], ends])[bounds[text : stop + 1] - bounds[text]]
+            text = stop
 
 
 @functools.cache
@@ -264,10 +301,11 @@ def _write(folder: str, tokenizer: str, bits: int, block_ids: int):
             if writer is None:
                 out = files.open_output_stream(name)
                 writer = ShardWriter(out, bits, block_ids)
-            ids, bounds = piece_encoder(tokenizer).encode(part.column(1))
-            ended, starts = np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
-            for doc_id, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-                writer.add(doc_id, ended[a:b])
+            doc_ids = iter(part.column(0).to_pylist())
+            for ids, bounds in piece_encoder(tokenizer).encode(part.column(1)):
+                ended, starts = np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    writer.add(next(doc_ids), ended[a:b])
         if writer is not None:
             writer.close()
             out.close()

@@ -20,9 +20,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -68,8 +66,25 @@ texts = st.lists(st.text(alphabet=st.sampled_from("ab'Ss 1\n\t 　éß字.,!  <
 @settings(max_examples=300, deadline=None)
 @given(texts)
 def test_pieces_are_the_tokenizers(tokenizer, encoder, rows):
-    ids, bounds = encoder.encode(pa.array(rows, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+    found = [ids[a:b].tolist() for ids, bounds in encoder.encode(pa.array(rows, pa.string())) for a, b in zip(bounds, bounds[1:])]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_special_tokens_are_the_tokenizers(encoder):
+    [(ids, bounds)] = encoder.encode(pa.array(["a <|endoftext|> b"]))
+    assert ids.tolist() == [64, 220, 50256, 275] and bounds.tolist() == [0, 4]
+
+
+def test_texts_of_many_runs(tokenizer, encoder, monkeypatch):
+    """Runs, new words and remembered ones are cut anew without a change of ids."""
+    rng = np.random.default_rng(1)
+    rows = [" ".join(f"w{n}" for n in rng.zipf(1.3, size)) for size in (1, 700, 0, 50, 3000, 2)] + ["two  spaces " * 40, "x <|endoftext|>"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in rows * 3]
+    for name, value in (("RUN_WORDS", 64), ("FRESH_WORDS", 7), ("MEMO_WORDS", 20)):
+        monkeypatch.setattr(f"tallyloom.llm.binpack.{name}", value)
+    encoder = PieceEncoder(PATH)
+    found = [ids[a:b].tolist() for _ in range(3) for ids, bounds in encoder.encode(pa.array(rows)) for a, b in zip(bounds, bounds[1:])]
+    assert found == expected
 
 
 def expected(tokenizer, rows):
