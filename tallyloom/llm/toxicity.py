@@ -33,8 +33,8 @@ GRAMS, BUCKETS, GRAM_WEIGHT = (3, 6), 1 << 15, 0.25
 UNITS, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 SEED = 17
-#: Windows scored at once.
-WINDOW_BATCH = 2048
+#: Windows scored at once, and words whose n-grams are summed at once.
+WINDOW_BATCH, WORD_BATCH = 2048, 8192
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -47,17 +47,25 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A word stands between marks, so that n-grams at its ends are told from others; it has at least one n-gram.
     """
+    parts = [_grams(words[start : start + WORD_BATCH]) for start in range(0, len(words), WORD_BATCH)]
+    if not parts:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    before = np.cumsum([0, *(len(bucket) for bucket, _ in parts)])
+    return np.concatenate([bucket for bucket, _ in parts]), np.concatenate([begins + base for (_, begins), base in zip(parts, before)])
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(b"^" + (w or b" ") + b"$" for w in words), dtype=np.uint8).astype(np.uint64)
     sizes = np.array([max(1, len(w)) + 2 for w in words], dtype=np.int64)
     ends = np.repeat(np.cumsum(sizes), sizes)
     at = np.arange(len(data))
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     code, found = data.copy(), []
     for length in range(2, max(GRAMS) + 1):
         code[: len(data) - length + 1] = code[: len(data) - length + 1] * np.uint64(1000003) + data[length - 1 :]
         if length in GRAMS:
             whole = at + length <= ends
-            found.append((word[whole], ((code[whole] + np.uint64(length)) * np.uint64(11400714819323198485) >> np.uint64(40)).astype(np.int64) % BUCKETS))
+            found.append((word[whole], ((code[whole] + np.uint64(length)) * np.uint64(11400714819323198485) >> np.uint64(40)).astype(np.int32) % BUCKETS))
     word, bucket = (np.concatenate(x) for x in zip(*found))
     by = np.argsort(word, kind="stable")
     return bucket[by], np.searchsorted(word[by], np.arange(len(words)))
@@ -96,10 +104,13 @@ class Model:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """The input vector of each normalised word."""
-        chars, starts = grams(words)
-        sums = np.add.reduceat(self.weights["char"][chars], starts, axis=0)
-        place = np.fromiter((self.vocabulary.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        return np.concatenate([self.weights["word"][place], sums * np.float32(GRAM_WEIGHT)], axis=1)
+        out = np.empty((len(words), WORD_DIM + CHAR_DIM), dtype=np.float32)
+        for start in range(0, len(words), WORD_BATCH):
+            part = words[start : start + WORD_BATCH]
+            chars, starts = _grams(part)
+            out[start : start + len(part), WORD_DIM:] = np.add.reduceat(self.weights["char"][chars], starts, axis=0) * np.float32(GRAM_WEIGHT)
+            out[start : start + len(part), :WORD_DIM] = self.weights["word"][[self.vocabulary.get(w, 0) for w in part]]
+        return out
 
     def logits(self, inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Each window's logit; ``windows`` holds rows of ``inputs``, -1 beyond the text's end."""
@@ -156,7 +167,9 @@ def _windows(places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     owner = np.repeat(np.arange(len(counts)), [len(s) for s in starts])
     at = np.concatenate(starts)[:, None] + np.arange(WINDOW) if len(starts) else np.zeros((0, WINDOW), dtype=np.int64)
     inside = at < counts[owner][:, None]
-    return np.where(inside, np.append(places, 0)[np.where(inside, at + bounds[:-1][owner][:, None], len(places))], -1), owner
+    at += bounds[:-1][owner][:, None]
+    at[~inside] = len(places)
+    return np.append(places, -1).astype(np.int32)[at], owner
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
@@ -261,13 +274,14 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         w["word"][k + 1, 0] = evidence[i] / 2
     model = Model(vocabulary, w)
 
-    buckets, begins = grams(words) if words else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    buckets, begins = grams(words)
     sizes = np.diff(np.append(begins, len(buckets)))
-    row_grams = [np.unique(np.concatenate([buckets[begins[i] : begins[i] + sizes[i]] for i in row])) if len(row) else row for row in rows]
     gram_held, gram_bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row, label in zip(row_grams, y):
-        gram_held[row] += 1
-        gram_bad[row] += label
+    for row, label in zip(rows, y):
+        own = np.unique(np.concatenate([buckets[begins[i] : begins[i] + sizes[i]] for i in row])) if len(row) else row
+        gram_held[own] += 1
+        gram_bad[own] += label
+    del rows
     gram_odds = np.log((gram_bad + 1) / (n_bad + 2)) - np.log((gram_held - gram_bad + 1) / (n_good + 2))
     gram_odds = np.where(gram_held >= LEAST_ROWS, np.clip(gram_odds, -2, 4), 0).astype(np.float32)
     w["char"][:, 0] = gram_odds / 2
