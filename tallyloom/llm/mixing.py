@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,12 +118,13 @@ _PLAN = T.StructType(
 
 
 def _plan(window: int):
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size", ignore_index=True)
-        total, goal = int(rows["source_size"].iloc[0]), int(np.floor(rows["target"].iloc[0] + 0.5))
+    def plan(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("size")
+        total, goal = rows["source_size"][0].as_py(), int(np.floor(rows["target"][0].as_py() + 0.5))
         copies = goal // total if total else 0
         extra = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), goal - copies * total, window)
-        return rows.assign(copies=np.int64(copies), extra=extra)[["source_key", "size", "source_size", "target", "copies", "extra"]]
+        kept = rows.select(["source_key", "size", "source_size", "target"])
+        return kept.append_column("copies", pa.array(np.full(len(extra), copies, dtype=np.int64))).append_column("extra", pa.array(extra))
 
     return plan
 
@@ -163,7 +163,7 @@ def mix_sources(
     lengths = cells.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sources, weights, share, max_repeat)
-    plan = cut(lengths.join(targets, "source_key").groupBy("source_key").applyInPandas(_plan(window), _PLAN))
+    plan = cut(lengths.join(targets, "source_key").groupBy("source_key").applyInArrow(_plan(window), _PLAN))
 
     earlier = Window.partitionBy("source_key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     decided = (
