@@ -30,7 +30,7 @@ from tallyloom.operators.skew import join_salted, join_uneven
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 64-bit words of a wide fingerprint, the triples of its bytes that are posted, and what similar documents keep to.
-WORDS, TRIPLES, LEAST_SHARED_BYTES, MOST_BITS = 4, 128, 3, 64
+WORDS, TRIPLES, LEAST_SHARED_BYTES, MOST_BITS = 4, 48, 3, 64
 #: Texts whose hashes are broadcast to fetch them (some 16 bytes each); more are joined.
 BROADCAST_TEXTS = 500_000
 #: Shingles that are counted together (of some six characters each), and members of a list that are paired in one block.
