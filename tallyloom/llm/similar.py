@@ -236,8 +236,9 @@ def _missed(links: DataFrame, tried: DataFrame, rows: DataFrame, shingle_words:
     """The links that the index has not met, exactly: all pairs that share a shingle of their prefixes and lie in different components.
 
     Each list's members meet its busiest member first, so that a group of copies is of one component when the lists are
-    paired. Of a pair the lesser text has the shingle among its first (1 - s) / (1 + s), which for texts that share a
-    template and fall short of the similarity are their own shingles. Long lists are paired in blocks.
+    paired; what is of one component already isn't verified again. Of a pair the lesser text has the shingle among its
+    first (1 - s) / (1 + s), which for texts that share a template and fall short of the similarity are their own
+    shingles. Long lists are paired in blocks.
     """
     least = 1 + similarity
     entries = cut(prefix_postings(rows, shingle_words, similarity))
@@ -247,16 +248,21 @@ def _missed(links: DataFrame, tried: DataFrame, rows: DataFrame, shingle_words:
         rest = F.least(F.col(f"{a}size") - F.col(f"{a}place"), F.col(f"{b}size") - F.col(f"{b}place"))
         return rest * least >= similarity * (F.col(f"{a}size") + F.col(f"{b}size")) - 1e-9
 
-    busy = entries.groupBy("print").agg(F.sum("n").alias("met"))
-    hubs = entries.join(busy, "print").groupBy("key").agg(F.max_by(F.struct("print", "place", "size"), F.struct("met", "print")).alias("h"))
-    meeting = entries.join(hubs, "key").where((F.col("print") != F.col("h.print")) & enough("", "h."))
+    def mixed(links: DataFrame) -> DataFrame:
+        """The entries of the lists whose texts are of several components, with their ``component``."""
+        joined = connected_components(links).withColumnRenamed("node", "print")
+        placed = cut(entries.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print")))
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        return cut(placed.join(several, "key"))
+
+    listed = mixed(links)
+    busy = listed.groupBy("print").agg(F.sum("n").alias("met"))
+    hubs = listed.join(busy, "print").groupBy("key").agg(F.max_by(F.struct("print", "place", "size", "component"), F.struct("met", "print")).alias("h"))
+    meeting = listed.join(hubs, "key").where((F.col("component") != F.col("h.component")) & enough("", "h."))
     met = cut(meeting.select(F.least("print", "h.print").alias("u"), F.greatest("print", "h.print").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
     found = _verified(met, rows, shingle_words, similarity)
 
-    joined = connected_components(links.unionByName(found)).withColumnRenamed("node", "print")
-    placed = cut(entries.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
+    left = mixed(links.unionByName(found)).withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
     a = left.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).alias("a")
     short = left.where(F.col("place") * least <= F.col("size") * (1 - similarity) + 1e-9)
     b = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
