@@ -179,17 +179,24 @@ def drop_distractor(df: DataFrame, seed: int) -> DataFrame:
 
 
 def request_battery(df: DataFrame, group: str, question_id: str, question: str, *, requests: int | None = None, most: int = 8) -> DataFrame:
-    """A group's first questions as one request (``group, questions`` map, at most ``most``); repeated in turn up to ``requests``.
+    """A group's questions as requests of at most ``most``: ``group, part, questions`` (a map); repeated in turn up to ``requests``.
 
-    A group's questions are ranked, and only the first ones are gathered.
+    All questions are asked: what one request can't hold goes to the group's next ``part`` (from 0). Questions are
+    dealt in the order of their ids' MD5, by its first two digits, then by id, and numbered within those digits, so that
+    a large group is not sorted in one task.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(question_id, question))
-    first = df.select(group, question_id, question).withColumn("_place", place).where(F.col("_place") <= most)
+    deal = F.substring(F.md5(F.col(question_id).cast("string")), 1, 2)
+    rows = df.select(group, question_id, question).withColumn("_deal", deal)
+    earlier = Window.partitionBy(group).orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(group, "_deal").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(group, "_deal").orderBy(question_id, question)) - 1
+    placed = rows.withColumn("_within", within).join(before.withColumnsRenamed({group: "_group", "_deal": "_same"}), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_deal") == F.col("_same")))
+    dealt = placed.withColumn("part", F.floor((F.col("_before") + F.col("_within")) / most))
     listed = F.array_sort(F.collect_list(F.struct(F.col(question_id).alias("k"), F.col(question).alias("v"))))
-    made = first.groupBy(group).agg(F.map_from_entries(listed).alias("questions"))
+    made = dealt.groupBy(group, "part").agg(F.map_from_entries(listed).alias("questions"))
     if requests is None:
         return made
-    numbered, n = hash_ranks(made, F.sha2(F.col(group).cast("string"), 256))
+    numbered, n = hash_ranks(made, F.sha2(F.concat_ws(":", F.col(group).cast("string"), "part"), 256))
     turns = df.sparkSession.range(requests).select(F.col("id").alias("request"), (F.col("id") % max(1, n)).alias("_rank"))
     return turns.join(numbered, "_rank").drop("_rank")
 

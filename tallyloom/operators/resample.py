@@ -122,26 +122,31 @@ def triplet_accuracy(df: DataFrame, triplet: str, role: str, correct: str, roles
     return checked.agg(F.count("*").alias("triplets"), *(F.avg(F.col(r).cast("double")).alias(r) for r in roles), F.avg(all_right).alias("all_correct"))
 
 
-def option_cue(df: DataFrame, signature: str, label: str) -> DataFrame:
-    """How well an example's option signature alone predicts its label: ``n, prior_accuracy, mode_accuracy, gain``.
+def option_cue(df: DataFrame, options: str, label: str) -> DataFrame:
+    """How well the set of an example's options alone predicts its label: ``n, signatures, prior_accuracy, mode_accuracy, gain``.
 
-    The mode of a signature, and the prior's best label, win ties by the smallest label.
+    The prior names, of the options present, the label most frequent over all rows (ties: the largest label); the mode
+    is the most frequent label among the rows of the same options. ``gain`` is what the mode has over the prior.
     """
-    cells = df.groupBy(signature, label).agg(F.count("*").alias("n"))
-    best = F.max("n").alias("n")
-    by_signature = cells.groupBy(signature).agg(best).agg(F.sum("n").alias("hit"))
-    overall = cells.groupBy(label).agg(F.sum("n").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    both = overall.withColumn("_k", F.lit(0)).join(by_signature.withColumn("_k", F.lit(0)), "_k")
-    return both.select("n", prob.safe_div(F.col("top"), F.col("n")).alias("prior_accuracy"), prob.safe_div(F.col("hit"), F.col("n")).alias("mode_accuracy"), prob.safe_div(F.col("hit") - F.col("top"), F.col("n")).alias("gain"))
+    cells = df.select(F.array_sort(F.array_distinct(F.col(options))).alias("_s"), F.col(label).alias("_l")).groupBy("_s", "_l").agg(F.count("*").alias("n"))
+    overall = cells.groupBy("_l").agg(F.sum("n").alias("_f"))
+    present = cells.select("_s").distinct().select("_s", F.explode("_s").alias("_l")).join(overall, "_l", "left")
+    named = present.groupBy("_s").agg(F.max_by("_l", F.struct(F.coalesce("_f", F.lit(0)), F.col("_l"))).alias("_guess"))
+    hit = F.coalesce(F.sum(F.when(F.col("_l") == F.col("_guess"), F.col("n"))), F.lit(0)).alias("prior")
+    by_signature = cells.join(named, "_s", "left").groupBy("_s").agg(F.sum("n").alias("n"), F.max("n").alias("mode"), hit)
+    n, prior, mode = F.sum("n"), F.sum("prior"), F.sum("mode")
+    return by_signature.agg(
+        n.alias("n"),
+        F.count("*").alias("signatures"),
+        prob.safe_div(prior, n).alias("prior_accuracy"),
+        prob.safe_div(mode, n).alias("mode_accuracy"),
+        prob.safe_div(mode - prior, n).alias("gain"),
+    )
 
 
 def restricted_prior_accuracy(df: DataFrame, options: str, label: str) -> DataFrame:
-    """Accuracy of always naming, of the options present, the label most frequent overall (ties: the smallest label)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    key = df.select(F.monotonically_increasing_id().alias("_q"), label, options)
-    present = key.select("_q", F.col(label).alias("_true"), F.explode(options).alias(label)).join(counts, label, "left")
-    guess = present.groupBy("_q").agg(F.first("_true").alias("_true"), F.min_by(F.col(label), F.struct(-F.coalesce("n", F.lit(0)), F.col(label))).alias("_guess"))
-    return guess.agg(F.count("*").alias("n"), F.avg((F.col("_guess") == F.col("_true")).cast("double")).alias("accuracy"))
+    """Accuracy of always naming, of the options present, the label most frequent overall (ties: the largest label)."""
+    return option_cue(df, options, label).select("n", F.col("prior_accuracy").alias("accuracy"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -241,11 +241,15 @@ WITH t AS (
   SELECT event_id // 3 AS t, max((value > 1)::INT) FILTER (event_id % 3 = 0) AS a, max((value > 1)::INT) FILTER (event_id % 3 = 1) AS b, max((value > 1)::INT) FILTER (event_id % 3 = 2) AS c
   FROM events GROUP BY 1 HAVING count(*) = 3)
 SELECT count(*) AS triplets, round(avg(a), 6) AS real, round(avg(b), 6) AS other, round(avg(c), 6) AS "none", round(avg((a * b * c)::DOUBLE), 6) AS all_correct FROM t""",
-    "option_cue": """
-WITH cells AS (SELECT o_orderstatus AS s, o_orderpriority AS l, count(*) AS n FROM orders GROUP BY 1, 2
-), hit AS (SELECT sum(n) AS hit FROM (SELECT max(n) AS n FROM cells GROUP BY s)
-), top AS (SELECT max(n) AS top, sum(n) AS n FROM (SELECT sum(n) AS n FROM cells GROUP BY l))
-SELECT n::BIGINT AS n, round(top / n, 6) AS prior_accuracy, round(hit / n, 6) AS mode_accuracy, round((hit - top) / n, 6) AS gain FROM hit, top""",
+    "option_cue": f"""
+WITH names AS (SELECT [{", ".join(f"'{p}'" for p in PRIORITIES)}] AS p
+), o AS (SELECT list_sort(list_distinct([o_orderpriority, p[o_custkey % 5 + 1], p[o_orderkey % 5 + 1]])) AS s, o_orderpriority AS l FROM orders, names
+), freq AS (SELECT l, count(*) AS f FROM o GROUP BY l
+), present AS (SELECT s, unnest(s) AS l FROM (SELECT DISTINCT s FROM o)
+), guess AS (SELECT s, arg_max(l, (coalesce(f, 0), l)) AS g FROM present LEFT JOIN freq USING (l) GROUP BY s
+), mode AS (SELECT s, max(n) AS hit FROM (SELECT s, l, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY s
+), sums AS (SELECT count(*) AS n, count(DISTINCT o.s) AS signatures, count(*) FILTER (l = g) AS prior FROM o JOIN guess ON o.s = guess.s)
+SELECT n, signatures, round(prior / n, 6) AS prior_accuracy, round((SELECT sum(hit) FROM mode) / n, 6) AS mode_accuracy, round(((SELECT sum(hit) FROM mode) - prior) / n, 6) AS gain FROM sums""",
     "mutual_information": """
 WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS c FROM orders GROUP BY 1, 2
 ), s AS (SELECT *, sum(c) OVER (PARTITION BY a) AS ca, sum(c) OVER (PARTITION BY b) AS cb, sum(c) OVER () AS n FROM c)
@@ -258,7 +262,10 @@ SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value)
 WITH c AS (SELECT CASE WHEN value > 2 THEN 'queue_full' ELSE 'ok' END AS status, event_type AS error, count(*) AS requests FROM events GROUP BY 1, 2)
 SELECT status, error, requests, (sum(requests) OVER ())::BIGINT AS total FROM c""",
     "throughput": "SELECT count(*) AS requests, round(sum(value), 6) AS total, round(count(*) * 1e6 / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) AS per_second FROM events",
-    "request_battery": "SELECT user_id, least(8, count(*)) AS questions, 'q' || lpad(min(event_id)::VARCHAR, 12, '0') AS first_question FROM events GROUP BY user_id",
+    "request_battery": """
+WITH q AS (SELECT user_id, 'q' || lpad(event_id::VARCHAR, 12, '0') AS q FROM events
+), r AS (SELECT user_id, q, (row_number() OVER (PARTITION BY user_id ORDER BY substr(md5(q), 1, 2), q) - 1) // 8 AS part FROM q)
+SELECT user_id, part, count(*) AS questions, min(q) AS first_question FROM r GROUP BY 1, 2""",
     "predictions_struct": f"""
 WITH {_CLASSES}, e AS (SELECT vec_id, label, idx, logit, (logit - max(logit) OVER (PARTITION BY vec_id)) / 0.05::DOUBLE AS s FROM numbered
 ), p AS (SELECT vec_id, any_value(label) AS label, arg_max(idx, logit) AS best, ln(sum(exp(s))) - max(s) FILTER (idx = label) AS nll FROM e GROUP BY vec_id)

@@ -249,7 +249,10 @@ def triplet_accuracy(spark, sf):
 
 
 def option_cue(spark, sf):
-    return _rounded(resample.option_cue(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
+    names = F.array(*map(F.lit, PRIORITIES))
+    others = [F.element_at(names, (F.col(c) % len(PRIORITIES) + 1).cast("int")) for c in ("o_custkey", "o_orderkey")]
+    orders = _t(spark, sf, "orders").select("o_orderpriority", F.array("o_orderpriority", *others).alias("options"))
+    return _rounded(resample.option_cue(orders, "options", "o_orderpriority"))
 
 
 def mutual_information(spark, sf):
@@ -273,7 +276,7 @@ def throughput(spark, sf):
 def request_battery(spark, sf):
     e = _t(spark, sf, "events").select("user_id", F.format_string("q%012d", "event_id").alias("q"), "event_type")
     b = derive.request_battery(e, "user_id", "q", "event_type")
-    return b.select("user_id", F.size("questions").cast("long").alias("questions"), F.array_min(F.map_keys("questions")).alias("first_question"))
+    return b.select("user_id", "part", F.size("questions").cast("long").alias("questions"), F.array_min(F.map_keys("questions")).alias("first_question"))
 
 
 def _requests(events: DataFrame) -> DataFrame:

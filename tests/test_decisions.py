@@ -310,3 +310,14 @@ def test_stream_equals_batch_and_questions_are_independent(spark, tmp_path):
     got = serving.decide(serving.parse_requests(alone), serving.hashed_scorer).first()
     assert got == batch.where("id = 'r3' AND question_id = 'b'").first()
     assert serving.usage(batch).first().expanded_rows == 100
+
+
+def test_request_battery_keeps_all_questions(spark):
+    rows = [("hot", f"q{i:03d}") for i in range(45)] + [("small", "q1"), ("small", "q2"), (None, "q3")]
+    df = spark.createDataFrame(rows, "g string, q string").withColumn("text", F.upper("q"))
+    made = derive.request_battery(df, "g", "q", "text").collect()
+    assert sorted((r.g, k, v) for r in made for k, v in r.questions.items() if r.g) == sorted((g, q, q.upper()) for g, q in rows if g)
+    assert sorted((r.part, len(r.questions)) for r in made if r.g == "hot") == [(i, 8) for i in range(5)] + [(5, 5)]
+    assert [len(r.questions) for r in made if r.g is None] == [1]
+    turns = derive.request_battery(df, "g", "q", "text", requests=20).collect()
+    assert sorted(r.request for r in turns) == list(range(20)) and len({(r.g, r.part) for r in turns}) == 8

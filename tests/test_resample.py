@@ -60,9 +60,11 @@ def test_triplets(spark):
 
 
 def test_option_cue_and_information(spark):
-    df = spark.createDataFrame([("s", "x")] * 3 + [("t", "y")] * 3, "s string, l string")
-    r = resample.option_cue(df, "s", "l").first()
-    assert (r.prior_accuracy, r.mode_accuracy, r.gain) == (0.5, 1.0, 0.5)
+    df = spark.createDataFrame([(["x", "y"], "x")] * 3 + [(["y", "z", "x"], "y")] * 3 + [(["z"], "z")], "o array<string>, l string").withColumn("s", F.array_join("o", ""))
+    r = resample.option_cue(df, "o", "l").first()  # x and y are as frequent: the prior names y, the larger one, where both are present
+    assert (r.n, r.signatures, r.prior_accuracy, r.mode_accuracy) == (7, 3, pytest.approx(4 / 7), 1.0)
+    assert r.gain == pytest.approx(3 / 7)
+    df = df.where("l != 'z'")
     assert resample.mutual_information(df, "s", "l").first().bits == pytest.approx(1.0)
     flat = df.withColumn("s", F.lit("s"))
     assert resample.mutual_information(flat, "s", "l").first().bits == pytest.approx(0.0)
