@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.schema import BINARY, CHOICE, ORDINAL
 
-# Facts with their weights, and bounds of panel levels.
+# Facts with their weights, bounds of panel levels, and the names of families and categories that
+# datasets hold. Wording is our own.
 FACTS = {
     "refund": (("requested", 0.35), ("declined", 0.2), ("past", 0.15), ("absent", 0.3)),
     "charge": (("double", 0.35), ("denied", 0.15), ("absent", 0.5)),
@@ -23,6 +24,7 @@ FACTS = {
 TYPE_WEIGHTS = ((BINARY, 0.4), (CHOICE, 0.3), (ORDINAL, 0.3))
 LEVEL_BOUNDS = (25, 50, 75)
 OTHER_RATE, OPTION_RANGE = 0.2, (3, 6)
+BINARY_KINDS = ("refund", "double", "fault", "locked", "escalate")
 REAL_KINDS = ("network", "performance", "data", "application")
 CATEGORIES = {
     "es": {"network": "Conexión o red", "performance": "Lentitud", "data": "Datos dañados o perdidos", "application": "Error de una función", "none": "Sin avería", "other": "Otra clase de avería", "billing": "Error de facturación", "hardware": "Equipo físico", "security": "Intrusión", "training": "Duda de uso"},
@@ -34,15 +36,14 @@ _SENTENCES = {
     "en": {"refund.requested": "I ask to get back what I paid.", "refund.declined": "I do not ask for any refund.", "refund.past": "A year ago I got a refund for something else.", "charge.double": "The same amount was charged two times.", "charge.denied": "The charge is right and appears once.", "fault.active.network": "The connection keeps dropping right now.", "fault.active.performance": "Everything takes minutes right now.", "fault.active.data": "Records are missing right now.", "fault.active.application": "A feature is failing right now.", "fault.resolved.network": "The connection dropped and works again.", "fault.resolved.performance": "It was slow and is fine again.", "fault.resolved.data": "Records were missing and are back.", "fault.resolved.application": "A feature failed and works again.", "access.locked": "I cannot get into the account.", "access.ok": "I get into the account without trouble."},
 }
 _ASK = {
-    "es": {"refund": "¿Pide el cliente una devolución?", "double": "¿Hay un cobro repetido?", "fault": "¿Hay ahora una avería?", "locked": "¿Está el cliente sin acceso?", "escalate": "¿Hay cobro repetido y petición de devolución a la vez?", "fault_type": "¿Qué clase de avería se describe?", "team": "¿Qué equipo corresponde?", "impact": "¿A qué parte de los usuarios afecta?", "severity": "¿Cómo de grave es la avería?"},
-    "en": {"refund": "Does the customer ask for a refund?", "double": "Is there a repeated charge?", "fault": "Is there a fault now?", "locked": "Is the customer without access?", "escalate": "Are there both a repeated charge and a request for a refund?", "fault_type": "Which kind of fault is described?", "team": "Which team applies?", "impact": "What part of the users is affected?", "severity": "How severe is the fault?"},
+    "es": {"refund": "¿Se reclama el dinero de una compra?", "double": "¿Hay un cobro repetido?", "fault": "¿Hay ahora una avería?", "locked": "¿Está el cliente sin acceso?", "escalate": "¿Hay cobro repetido y petición de devolución a la vez?", "fault_type": "¿Qué clase de avería se describe?", "team": "¿Qué equipo corresponde?", "impact": "¿A qué parte de los usuarios afecta?", "severity": "¿Cómo de grave es la avería?"},
+    "en": {"refund": "Is the money for a purchase asked back?", "double": "Is there a repeated charge?", "fault": "Is there a fault now?", "locked": "Is the customer without access?", "escalate": "Are there both a repeated charge and a request for a refund?", "fault_type": "Which kind of fault is described?", "team": "Which team applies?", "impact": "What part of the users is affected?", "severity": "How severe is the fault?"},
 }
 _TEAMS = {"es": ("Facturación", "Cuentas", "Técnica", "General"), "en": ("Billing", "Accounts", "Technical", "General")}
 _RUBRICS = {
     "es": {"severity": ("Sin avería", "Avería pasada", "Avería presente"), 3: ("Nadie", "Una parte", "Todos"), 4: ("Nadie", "Menos de la mitad", "La mitad o más", "Todos"), 5: ("Nadie", "Hasta un cuarto", "Hasta la mitad", "Más de la mitad", "Todos")},
     "en": {"severity": ("No fault", "Past fault", "Present fault"), 3: ("Nobody", "A part", "Everybody"), 4: ("Nobody", "Less than half", "Half or more", "Everybody"), 5: ("Nobody", "Up to a quarter", "Up to half", "More than half", "Everybody")},
 }
-BINARY_KINDS = ("refund", "double", "fault", "locked", "escalate")
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -77,10 +78,11 @@ def severity_rule(facts: Column) -> Column:
 
 
 def impact_level(x: Column, y: Column, m: Column) -> Column:
-    """Level of x of y users on a rubric of 3, 4 or 5 levels: the ends are nobody and everybody."""
+    """Level of x of y users on a rubric of 3, 4 or 5 levels: the ends are nobody and everybody. Other rubrics fail the query."""
     r = x / y
     inner = F.when(m == 3, 1).when(m == 4, F.when(r < 0.5, 1).otherwise(2)).when(m == 5, F.when(r <= 0.25, 1).when(r <= 0.5, 2).otherwise(3))
-    return F.when(x == 0, 0).when(x == y, m - 1).otherwise(inner).cast("int")
+    known = x.isNull() | m.isNull() | m.isin(3, 4, 5)
+    return F.when(~known, F.raise_error(F.lit("impact rubrics have 3, 4 or 5 levels")).cast("int")).when(x == 0, 0).when(x == y, m - 1).otherwise(inner).cast("int")
 
 
 def panel_level(value: Column) -> Column:

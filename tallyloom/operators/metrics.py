@@ -5,7 +5,8 @@ Breakdowns come from one pass: a row is expanded to the grouping sets it belongs
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,19 +168,43 @@ def nearest_index(values: Column, q: float) -> Column:
     return F.element_at(ordered, F.bround(F.lit(q) * (F.size(ordered) - 1)).cast("int") + 1)
 
 
-def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """The same for a long column: one column ``q<percent>`` per quantile, without gathering a group's values.
+#: Accuracy of the quantile sketch, and how far from a quantile the values are that are ranked exactly: ten times its error.
+_SKETCH, _AROUND = 10_000, 0.001
+#: Rows of a group up to which all of it are ordered: there, places round to outside the bounds.
+_FEW = 4_000
+
 
-    Distinct values are counted first; a running count over them finds the one that holds each rank.
+def values_at(df: DataFrame, value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]], by: Sequence[str] = ()) -> DataFrame:
+    """``*by`` and one column per name of ``ranks``: the value at the sorted place ``rounding(q (n - 1))``, nulls left out.
+
+    Exact: a sketch per group gives bounds on both sides of each quantile, which hold its place by the sketch's
+    guaranteed error. Values below the bounds are counted, and only those within (one in 500) are ordered.
     """
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(own)})
-    rank = lambda q: F.bround(F.lit(q) * (F.col("_all") - 1)).cast("long")
-    return ranked.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > rank(q), F.col("_v"))).alias(f"q{round(q * 100)}") for q in quantiles))
+    keys = list(by) or ["_all_rows"]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    rows = rows if by else rows.withColumn("_all_rows", F.lit(0))
+    edges = [F.lit(min(1.0, max(0.0, q + side))) for q, _ in ranks.values() for side in (-_AROUND, _AROUND)]
+    sketch = F.percentile_approx("_v", F.array(*edges), _SKETCH)
+    ends = F.array(*[side for _ in ranks for side in (F.min("_v"), F.max("_v"))])
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.when(F.count("*") <= _FEW, ends).otherwise(sketch).alias("_edges")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_of_{k}")), keys, F.lit(True))
+    placed = rows.join(bounds, same).drop(*(f"_of_{k}" for k in keys))
+    low, high = (lambda i: F.col("_edges")[2 * i]), (lambda i: F.col("_edges")[2 * i + 1])
+    below = placed.groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.count_if(F.col("_v") < low(i)).alias(f"_below_{i}") for i in range(len(ranks))))
+    inside = F.array_compact(F.array(*[F.when(F.col("_v").between(low(i), high(i)), i) for i in range(len(ranks))]))
+    near = placed.select(*keys, "_v", F.explode(inside).alias("_q")).groupBy(*keys, "_q", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counted = near.withColumn("_upto", upto).join(below.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same)
+    place = [rounding(F.lit(q) * (F.col("_n") - 1)).cast("long") for q, rounding in ranks.values()]
+    found = [F.min(F.when((F.col("_q") == i) & (F.col("_upto") + F.col(f"_below_{i}") > place[i]), F.col("_v"))).alias(name) for i, name in enumerate(ranks)]
+    return counted.groupBy(*keys).agg(*found).select(*by, *ranks)
+
+
+def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The same for a long column: one column ``q<percent>`` per quantile, without gathering a group's values."""
+    return values_at(df, value, {f"q{round(q * 100)}": (q, F.bround) for q in quantiles}, by)
 
 
 def latency_summary(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
@@ -192,14 +217,10 @@ def latency_summary(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> Dat
 
 def step_summary(df: DataFrame, seconds: str, clipped: str) -> DataFrame:
     """``steps, median, p95, total, clipped_fraction`` of training steps; p95 at index ``int(0.95 (n - 1))``."""
-    ordered = F.array_sort(F.collect_list(seconds))
-    return df.agg(
-        F.count(seconds).alias("steps"),
-        F.median(seconds).alias("median"),
-        F.element_at(ordered, F.floor(F.lit(0.95) * (F.size(ordered) - 1)).cast("int") + 1).alias("p95"),
-        F.sum(seconds).alias("total"),
-        F.avg(F.col(clipped).cast("double")).alias("clipped_fraction"),
-    )
+    sums = df.agg(F.count(seconds).alias("steps"), F.sum(seconds).alias("total"), F.avg(F.col(clipped).cast("double")).alias("clipped_fraction"))
+    ranked = values_at(df, seconds, {"_a": (0.5, F.floor), "_b": (0.5, F.ceil), "p95": (0.95, F.floor)})
+    joined = sums.withColumn("_k", F.lit(0)).join(ranked.withColumn("_k", F.lit(0)), "_k", "left")
+    return joined.select("steps", ((F.col("_a") + F.col("_b")) / 2).alias("median"), "p95", "total", "clipped_fraction")
 
 
 def peaks(df: DataFrame, columns: Sequence[str]) -> DataFrame:

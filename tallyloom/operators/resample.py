@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import prob
 from tallyloom.operators.split import hash_ranks
 
-#: Groups up to which the numpy draws are made on the driver (4 bytes a draw); beyond it, draws are hashed.
+#: Groups up to which ``draws_of`` takes numpy's draws, made on the driver; beyond it, draws are hashed by the executors.
 DRIVER_GROUPS = 20_000
 
 
@@ -25,10 +26,13 @@ def numpy_draws(df: DataFrame, group: str, reps: int, seed: int, *, together: bo
         raise ValueError(f"more than {DRIVER_GROUPS} groups: use hashed_draws")
     rng, n = np.random.default_rng(seed), len(keys)
     drawn = rng.integers(0, n, size=(reps, n)) if together else (rng.choice(n, size=n, replace=True) for _ in range(reps))
-    rows = [(rep, i, int(c)) for rep, d in enumerate(drawn) for i, c in zip(*np.unique(d, return_counts=True))]
+    counted = [np.unique(d, return_counts=True) for d in drawn]
+    rep = np.repeat(np.arange(reps, dtype=np.int32), [len(i) for i, _ in counted])
+    place, times = (np.concatenate([c[k] for c in counted]).astype(np.int32) if counted else np.zeros(0, np.int32) for k in (0, 1))
     spark = df.sparkSession
     named = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"_i long, {group} {df.schema[group].dataType.simpleString()}")
-    return spark.createDataFrame([(a, int(b), c) for a, b, c in rows], "rep long, _i long, times long").join(named, "_i").drop("_i")
+    made = spark.createDataFrame(pa.table({"rep": rep, "_i": place, "times": times}))
+    return made.select(*(F.col(c).cast("long").alias(c) for c in made.columns)).join(named, "_i").drop("_i")
 
 
 def hashed_draws(df: DataFrame, group: str, reps: int) -> DataFrame:
@@ -41,21 +45,47 @@ def hashed_draws(df: DataFrame, group: str, reps: int) -> DataFrame:
     return times.join(ranked, "_rank").drop("_rank")
 
 
-def bootstrap(df: DataFrame, group: str, sums: dict[str, tuple[str, str]], draws: DataFrame, *, level: float = 0.95) -> DataFrame:
-    """``metric, point, low, high, defined_reps`` of ratios of sums, by resampling whole groups.
+def draws_of(df: DataFrame, group: str, reps: int, seed: int, *, together: bool = False) -> DataFrame:
+    """numpy's draws up to ``DRIVER_GROUPS`` groups, which repeat published intervals; beyond them hashed ones."""
+    few = df.select(group).distinct().limit(DRIVER_GROUPS + 1).count() <= DRIVER_GROUPS
+    return numpy_draws(df, group, reps, seed, together=together) if few else hashed_draws(df, group, reps)
+
+
+def _intervals(values: DataFrame, keys: Sequence[str], level: float) -> DataFrame:
+    """``low, high, defined_reps`` of ``value`` by ``keys``; undefined repetitions are counted out."""
+    alpha = (1 - level) / 2
+    found = values.where("value IS NOT NULL").groupBy(*keys).agg(F.percentile("value", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("_i"), F.count("*").alias("defined_reps"))
+    return found.select(*keys, F.col("_i")[0].alias("low"), F.col("_i")[1].alias("high"), "defined_reps")
+
+
+def bootstrap(df: DataFrame, group: str, sums: dict[str, tuple[str, str]], draws: DataFrame, *, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, metric, point, low, high, defined_reps`` of ratios of sums, by resampling whole groups.
 
     ``sums`` gives each metric's numerator and denominator columns. Groups are summed once, repetitions are weighted sums
-    of them. A repetition whose denominator is 0 leaves the metric undefined and is dropped and counted out.
+    of them, for each value of ``by`` (never null). A repetition whose denominator is 0, or that draws no group with a
+    value of ``by``, leaves the metric undefined and is dropped and counted out.
     """
     parts = sorted({c for pair in sums.values() for c in pair})
-    per_group = df.groupBy(group).agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in parts))
-    weighted = draws.join(per_group, group).groupBy("rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in parts))
+    per_group = df.groupBy(group, *by).agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in parts))
+    weighted = draws.join(per_group, group).groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in parts))
     metrics = F.array(*[F.struct(F.lit(m).alias("metric"), prob.safe_div(F.col(a), F.col(b)).alias("value")) for m, (a, b) in sums.items()])
-    alpha = (1 - level) / 2
-    spread = weighted.select(F.explode(metrics).alias("m")).where("m.value IS NOT NULL").groupBy("m.metric")
-    intervals = spread.agg(F.percentile("m.value", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("i"), F.count("*").alias("defined_reps"))
-    point = per_group.agg(*(F.sum(c).alias(c) for c in parts)).select(F.explode(metrics).alias("m")).select("m.metric", F.col("m.value").alias("point"))
-    return point.join(intervals, "metric", "left").select("metric", "point", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), F.coalesce("defined_reps", F.lit(0)).alias("defined_reps"))
+    named = lambda frame: frame.select(*by, F.explode(metrics).alias("m")).select(*by, "m.metric", "m.value")
+    point = named(per_group.groupBy(*by).agg(*(F.sum(c).alias(c) for c in parts))).withColumnRenamed("value", "point")
+    keys = [*by, "metric"]
+    return point.join(_intervals(named(weighted), keys, level), keys, "left").fillna(0, ["defined_reps"])
+
+
+def bootstrap_any(df: DataFrame, group: str, aggregates: dict[str, Column], draws: DataFrame, *, level: float = 0.95) -> DataFrame:
+    """``metric, point, low, high, defined_reps`` of any aggregate of rows, by resampling whole groups.
+
+    A group's rows stand as often as it is drawn, so this handles as many rows as there are in all repetitions together,
+    aggregated where they arise; metrics that are ratios of sums are cheaper by ``bootstrap``.
+    """
+    made = [a.cast("double").alias(m) for m, a in aggregates.items()]
+    long = lambda frame: frame.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in aggregates])).alias("m")).select("m.metric", "m.value")
+    repeated = df.join(draws, group).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    point = long(df.agg(*made)).withColumnRenamed("value", "point")
+    return point.join(_intervals(long(repeated.groupBy("rep").agg(*made)), ["metric"], level), "metric", "left").fillna(0, ["defined_reps"])
 
 
 def paired(a: DataFrame, b: DataFrame, *, allow_different_inputs: bool = False) -> DataFrame:
@@ -97,29 +127,81 @@ def paired(a: DataFrame, b: DataFrame, *, allow_different_inputs: bool = False)
     )
 
 
-def compare_models(a: DataFrame, b: DataFrame, *, types: Sequence[str], reps: int = 1000, seed: int = 0, level: float = 0.95, allow_different_inputs: bool = False) -> DataFrame:
-    """Paired differences b - a of NLL and accuracy, overall and by type, with group-bootstrap intervals."""
+def compare_models(a: DataFrame, b: DataFrame, *, types: Sequence[str], reps: int = 1000, seed: int = 0, level: float = 0.95, allow_different_inputs: bool = False, draws: DataFrame | None = None) -> DataFrame:
+    """Paired differences b - a of NLL and accuracy, overall and by type, with group-bootstrap intervals (by ``draws``, if given)."""
     rows = paired(a, b, allow_different_inputs=allow_different_inputs).withColumn("one", F.lit(1.0))
     sums = {"a.nll_all": ("nll_a", "one"), "b.nll_all": ("nll_b", "one"), "b_minus_a.nll_all": ("d_nll", "one"), "b_minus_a.accuracy_all": ("d_correct", "one")}
     for i, t in enumerate(types):
         here = F.when(F.col("type") == t, 1.0).otherwise(0.0)
         rows = rows.withColumns({f"one_{i}": here, f"nll_{i}": here * F.col("d_nll"), f"correct_{i}": here * F.col("d_correct")})
         sums |= {f"b_minus_a.{t}.nll": (f"nll_{i}", f"one_{i}"), f"b_minus_a.{t}.accuracy": (f"correct_{i}", f"one_{i}")}
-    return bootstrap(rows, "group_id", sums, numpy_draws(rows, "group_id", reps, seed), level=level)
+    return bootstrap(rows, "group_id", sums, draws or draws_of(rows, "group_id", reps, seed), level=level)
 
 
-def triplet_accuracy(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ("real", "other", "none")) -> DataFrame:
-    """``triplets``, accuracy by role and ``all_correct``; a repeated, unknown or missing role fails the query."""
+def compare_model_set(predictions: DataFrame, reference: str, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
+    """``model, type, metric, point, low, high, defined_reps`` of several models over the same questions.
+
+    ``predictions`` holds ``model, id, group_id, type, nll, correct``; ``type`` is also ``all``. Metrics are ``nll`` and
+    ``accuracy``, and but for the model ``reference`` both less its own on the same rows. Every model must have the
+    reference's ids once each, else a ``ValueError`` names it.
+    """
+    own = predictions.where(F.col("model") == reference).select("id", F.col("nll").alias("_nll"), F.col("correct").alias("_correct"))
+    joined = predictions.join(own, "id", "left")
+    counts = joined.groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("_correct").isNull()).alias("lost"))
+    seen = {r["model"]: (r["n"], r["ids"], r["lost"]) for r in counts.collect()}  # one row a model
+    size = seen.get(reference, (0, 0, 0))[0]
+    if wrong := sorted(m for m, found in seen.items() if found != (size, size, 0)) or ([] if size else [reference]):
+        raise ValueError(f"models without the reference's ids, once each: {wrong}")
+    correct = F.col("correct").cast("double")
+    rows = joined.select(
+        "model", "group_id", F.explode(F.array(F.col("type"), F.lit("all"))).alias("type"), "nll", correct.alias("correct"),
+        (F.col("nll") - F.col("_nll")).alias("d_nll"), (correct - F.col("_correct").cast("double")).alias("d_correct"), F.lit(1.0).alias("one"),
+    )
+    sums = {"nll": ("nll", "one"), "accuracy": ("correct", "one"), "nll_minus_reference": ("d_nll", "one"), "accuracy_minus_reference": ("d_correct", "one")}
+    found = bootstrap(rows, "group_id", sums, draws or draws_of(rows, "group_id", reps, seed), level=level, by=["model", "type"])
+    return found.where((F.col("model") != reference) | ~F.col("metric").endswith("_minus_reference"))
+
+
+ROLES = ("real", "other", "none")
+
+
+def _whole_triplets(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str]) -> DataFrame:
+    """One row per triplet with 0 or 1 for each role and ``accuracy, all_correct``; a repeated, unknown or missing role fails."""
     hits = [F.max(F.when(F.col(role) == r, F.col(correct).cast("int"))).alias(r) for r in roles]
     grouped = df.groupBy(triplet).agg(*hits, F.count("*").alias("_rows"), F.count_if(F.col(role).isin(*roles)).alias("_known"))
     fine = (F.col("_rows") == len(roles)) & (F.col("_known") == len(roles))
     for r in roles:
         fine = fine & F.col(r).isNotNull()
-    checked = grouped.select(triplet, *(F.when(fine, F.col(r)).otherwise(F.raise_error(F.lit("a triplet has repeated, unknown or missing roles"))).alias(r) for r in roles))
-    all_right = F.lit(1.0)
-    for r in roles:
-        all_right = all_right * F.col(r)
-    return checked.agg(F.count("*").alias("triplets"), *(F.avg(F.col(r).cast("double")).alias(r) for r in roles), F.avg(all_right).alias("all_correct"))
+    checked = grouped.select(triplet, *(F.when(fine, F.col(r)).otherwise(F.raise_error(F.lit("a triplet has repeated, unknown or missing roles"))).cast("double").alias(r) for r in roles))
+    held = F.array(*roles)
+    return checked.withColumns({"accuracy": prob.total(held) / len(roles), "all_correct": F.array_min(held)})
+
+
+def triplet_accuracy(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ROLES) -> DataFrame:
+    """``triplets``, accuracy by role and ``all_correct``; a repeated, unknown or missing role fails the query."""
+    return _whole_triplets(df, triplet, role, correct, roles).agg(F.count("*").alias("triplets"), *(F.avg(r).alias(r) for r in (*roles, "all_correct")))
+
+
+def triplet_intervals(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ROLES, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
+    """``metric, point, low, high, defined_reps`` of ``accuracy``, ``all_correct`` and each role, by resampling triplets."""
+    rows = _whole_triplets(df, triplet, role, correct, roles).withColumn("one", F.lit(1.0))
+    sums = {m: (m, "one") for m in ("accuracy", "all_correct", *roles)}
+    return bootstrap(rows, triplet, sums, draws or draws_of(rows, triplet, reps, seed, together=True), level=level)
+
+
+def compare_triplets(a: DataFrame, b: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ROLES, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
+    """``metric, a, b, b_minus_a, low, high, defined_reps`` of two models on the same triplets, paired by triplet.
+
+    The interval is that of the difference. Triplets that only one side has fail the query.
+    """
+    metrics = ("accuracy", "all_correct", *roles)
+    sides = [_whole_triplets(df, triplet, role, correct, roles).select(F.col(triplet).alias(f"_{side}"), *(F.col(m).alias(f"{side}_{m}") for m in metrics)) for side, df in (("a", a), ("b", b))]
+    joined = sides[0].join(sides[1], F.col("_a") == F.col("_b"), "full_outer")
+    both = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a triplet is on one side only"))).otherwise(F.col("_a"))
+    rows = joined.withColumn(triplet, both).withColumns({"one": F.lit(1.0), **{f"d_{m}": F.col(f"b_{m}") - F.col(f"a_{m}") for m in metrics}})
+    means = rows.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.avg(f"a_{m}").alias("a"), F.avg(f"b_{m}").alias("b")) for m in metrics]).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    spread = bootstrap(rows, triplet, {m: (f"d_{m}", "one") for m in metrics}, draws or draws_of(rows, triplet, reps, seed, together=True), level=level)
+    return means.join(spread.withColumnRenamed("point", "b_minus_a"), "metric")
 
 
 def option_cue(df: DataFrame, options: str, label: str) -> DataFrame:

@@ -105,6 +105,50 @@ SELECT o_orderkey::VARCHAR AS id, i::INT AS candidate_index, 5 AS n_candidates,
 FROM orders, unnest(range(5)) AS u(i)"""
 
 
+_NLL2 = "greatest(CASE WHEN quality = 1 THEN -(z / 2 + 0.5) ELSE z / 2 + 0.5 END, 0) + ln(1 + exp(-abs(z / 2 + 0.5)))"
+#: Two models' judgements of one document in one row.
+_JUDGED = f"""{_LABELLED}, judged AS (
+  SELECT doc_id AS id, source AS group_id, lang AS type, quality, toxic, z, p, nll AS nll_a, {_NLL2} AS nll_b,
+         ((z >= 0) = (quality = 1))::INT::DOUBLE AS correct_a, ((z / 2 + 0.5 >= 0) = (quality = 1))::INT::DOUBLE AS correct_b,
+         z >= 0 AS yes_a, z / 2 + 0.5 >= 0 AS yes_b FROM scored
+)"""
+
+
+def _intervals(ctes: str, reps: int, columns: str = "metric") -> str:
+    """Group-bootstrap intervals of means over ``long`` (g, metric, value, ...), the last of ``ctes``; an undefined value is null."""
+    return f"""
+WITH {ctes}, groups AS (SELECT g, row_number() OVER (ORDER BY sha256(g::VARCHAR)) - 1 AS i FROM (SELECT DISTINCT g FROM long)
+), size AS (SELECT count(*) AS n FROM groups
+), draws AS (
+  SELECT rep, ('0x' || substr(md5(rep::VARCHAR || ':' || slot::VARCHAR), 1, 8))::BIGINT % (SELECT n FROM size) AS i
+  FROM range({reps}) r(rep), range((SELECT n FROM size)) s(slot)
+), sums AS (SELECT g, {columns}, sum(value) AS s, count(value) AS n FROM long GROUP BY ALL
+), reps AS (SELECT rep, {columns}, sum(s) / nullif(sum(n), 0) AS value FROM draws JOIN groups USING (i) JOIN sums USING (g) GROUP BY ALL
+), spread AS (
+  SELECT {columns}, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS defined_reps
+  FROM reps WHERE value IS NOT NULL GROUP BY ALL
+), points AS (SELECT {columns}, round(sum(s) / nullif(sum(n), 0), 6) AS point FROM sums GROUP BY ALL)"""
+
+
+_SPREAD = "SELECT p.*, low, high, coalesce(defined_reps, 0) AS defined_reps FROM points p LEFT JOIN spread s ON "
+
+
+def _triplet_sql(above: float) -> str:
+    hit = lambda i: f"max((value > {above})::INT::DOUBLE) FILTER (event_id % 3 = {i})"
+    return f"""(SELECT event_id // 3 AS g, {hit(0)} AS "real", {hit(1)} AS other, {hit(2)} AS "none" FROM events GROUP BY 1 HAVING count(*) = 3)"""
+
+
+def _triplet_values(table: str) -> str:
+    return f"""(SELECT g, unnest(['real', 'other', 'none', 'accuracy', 'all_correct']) AS metric,
+  unnest(["real", other, "none", ("real" + other + "none") / 3, least("real", other, "none")]) AS value FROM {table})"""
+
+
+_DECIDED = """
+WITH c AS (
+  SELECT event_id, i, ['click', 'view', 'other'][i] AS name, ('0x' || substr(md5(props || chr(10) || 'Which?' || chr(10) || ['click', 'view', 'other'][i]), 1, 8))::BIGINT % 4001 AS z
+  FROM events, unnest([1, 2, 3]) AS u(i))
+SELECT event_id::VARCHAR AS id, 'q' AS question_id, arg_max(name, (z, -i)) AS answer FROM c GROUP BY event_id"""
+
 _DOCS = "SELECT doc_id, lang, source, sha256(text) AS input FROM documents"
 
 ORACLES: dict[str, str] = {
@@ -266,6 +310,95 @@ SELECT status, error, requests, (sum(requests) OVER ())::BIGINT AS total FROM c"
 WITH q AS (SELECT user_id, 'q' || lpad(event_id::VARCHAR, 12, '0') AS q FROM events
 ), r AS (SELECT user_id, q, (row_number() OVER (PARTITION BY user_id ORDER BY substr(md5(q), 1, 2), q) - 1) // 8 AS part FROM q)
 SELECT user_id, part, count(*) AS questions, min(q) AS first_question FROM r GROUP BY 1, 2""",
+    "batch_decide": _DECIDED,
+    "stream_decide": _DECIDED,
+    "contradictory_templates": _duplicates("SELECT doc_id, source, lang || ':' || (n_chars // 100)::VARCHAR AS input, quality FROM documents JOIN labels USING (doc_id)", "quality", "WHERE kind = 'labels'", "input, doc_id, n"),
+    "compare_models_intervals": _intervals(f"""{_JUDGED}, long AS (
+  SELECT group_id AS g, unnest(['a.nll_all', 'b.nll_all', 'b_minus_a.nll_all', 'b_minus_a.accuracy_all', 'b_minus_a.en.nll', 'b_minus_a.en.accuracy', 'b_minus_a.es.nll', 'b_minus_a.es.accuracy']) AS metric,
+         unnest([nll_a, nll_b, nll_b - nll_a, correct_b - correct_a, if(type = 'en', nll_b - nll_a, NULL), if(type = 'en', correct_b - correct_a, NULL), if(type = 'es', nll_b - nll_a, NULL), if(type = 'es', correct_b - correct_a, NULL)]) AS value
+  FROM judged)""", 100) + _SPREAD + "p.metric = s.metric",
+    "compare_model_set": _intervals(f"""{_JUDGED}, models AS (
+  SELECT id, group_id, unnest([type, 'all']) AS type, nll_a, correct_a, unnest([nll_a, nll_a]) AS nll, unnest([correct_a, correct_a]) AS correct, 'z' AS model FROM judged
+  UNION ALL SELECT id, group_id, unnest([type, 'all']), nll_a, correct_a, nll_b, correct_b, 'z2' FROM judged
+  UNION ALL SELECT id, group_id, unnest([type, 'all']), nll_a, correct_a, 0.5, (quality = 1)::INT::DOUBLE, 'flat' FROM judged
+), long AS (
+  SELECT group_id AS g, model, type, unnest(['nll', 'accuracy', 'nll_minus_reference', 'accuracy_minus_reference']) AS metric,
+         unnest([nll, correct, nll - nll_a, correct - correct_a]) AS value FROM models)""", 100, "model, type, metric")
+    + _SPREAD + "p.model = s.model AND p.type = s.type AND p.metric = s.metric WHERE p.model <> 'z' OR p.metric NOT LIKE '%reference'",
+    "bootstrap_spread": f"""
+WITH {_LABELLED}, full_rows AS (SELECT s.*, n_chars FROM scored s JOIN documents USING (doc_id)
+), groups AS (SELECT source, row_number() OVER (ORDER BY sha256(source)) - 1 AS i FROM (SELECT DISTINCT source FROM full_rows)
+), size AS (SELECT count(*) AS n FROM groups
+), draws AS (
+  SELECT rep, ('0x' || substr(md5(rep::VARCHAR || ':' || slot::VARCHAR), 1, 8))::BIGINT % (SELECT n FROM size) AS i
+  FROM range(50) r(rep), range((SELECT n FROM size)) s(slot)
+), reps AS (SELECT rep, stddev_pop(z) AS a, max(n_chars)::DOUBLE AS b, avg(z) AS c FROM draws JOIN groups USING (i) JOIN full_rows USING (source) GROUP BY rep
+), l AS (SELECT unnest(['z_deviation', 'longest', 'mean_z']) AS metric, unnest([a, b, c]) AS value FROM reps
+), p AS (SELECT unnest(['z_deviation', 'longest', 'mean_z']) AS metric, unnest([stddev_pop(z), max(n_chars)::DOUBLE, avg(z)]) AS point FROM full_rows)
+SELECT metric, round(any_value(point), 6) AS point, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS defined_reps FROM l JOIN p USING (metric) GROUP BY metric""",
+    "triplet_intervals": _intervals(f"long AS {_triplet_values(_triplet_sql(3))}", 40) + _SPREAD + "p.metric = s.metric",
+    "compare_triplets": _intervals(f"""ab AS (
+  SELECT g, metric, x.value AS a, y.value AS b FROM {_triplet_values(_triplet_sql(3))} x JOIN {_triplet_values(_triplet_sql(2))} y USING (g, metric)
+), long AS (SELECT g, metric, b - a AS value FROM ab)""", 40)
+    + " SELECT p.metric, round(avg(a), 6) AS a, round(avg(b), 6) AS b, any_value(point) AS b_minus_a, any_value(low) AS low, any_value(high) AS high, any_value(defined_reps) AS defined_reps FROM points p JOIN spread USING (metric) JOIN ab USING (metric) GROUP BY p.metric",
+    "restricted_prior": f"""
+WITH names AS (SELECT [{", ".join(f"'{p}'" for p in PRIORITIES)}] AS p
+), o AS (SELECT o_orderpriority AS l, p[o_orderkey % 5 + 1] AS other FROM orders, names
+), f AS (SELECT l, count(*) AS f FROM o GROUP BY l
+), g AS (SELECT o.l, CASE WHEN (coalesce(b.f, 0), other) > (a.f, o.l) THEN other ELSE o.l END AS guess FROM o JOIN f a ON o.l = a.l LEFT JOIN f b ON o.other = b.l)
+SELECT count(*) AS n, round(avg((l = guess)::INT::DOUBLE), 6) AS accuracy FROM g""",
+    "mean_nll_by_type": f"""
+WITH {_JUDGED}, t AS (SELECT unnest(['all', 'en', 'es', 'none such']) AS type)
+SELECT t.type, count(nll_a) AS n, round(avg(nll_a), 6) AS nll FROM t LEFT JOIN judged j ON t.type = j.type OR t.type = 'all' GROUP BY t.type""",
+    "robustness": f"""
+WITH {_JUDGED}, e AS (SELECT unnest([type, 'all']) AS type, correct_a, correct_b, nll_a, nll_b, (yes_a = yes_b)::INT::DOUBLE AS same FROM judged)
+SELECT type, count(*) AS n, round(avg(correct_a), 6) AS accuracy_before, round(avg(correct_b), 6) AS accuracy_after, round(avg(nll_a), 6) AS nll_before, round(avg(nll_b), 6) AS nll_after, round(avg(same), 6) AS unchanged FROM e GROUP BY type""",
+    "reload_difference": "SELECT count(*) AS questions, round(max(vec_id % 7) * 1e-5::DOUBLE, 6) AS max_difference, max(vec_id % 7) * 1e-5::DOUBLE <= 1e-4 AS within FROM embeddings",
+    "answer_violations": f"WITH {_LABELLED} SELECT doc_id, round(z, 6) AS z FROM scored WHERE z NOT BETWEEN 0 AND 1",
+    "inspect_errors": f"WITH {_JUDGED} SELECT id, type, group_id AS task_family, round(nll_a, 6) AS nll FROM judged WHERE correct_a = 0",
+    "donor_accuracy": f"WITH {_JUDGED} SELECT count(*) AS n, round(avg((yes_a = (quality = 1))::INT::DOUBLE), 6) AS original, round(avg((yes_a = (toxic = 1))::INT::DOUBLE), 6) AS donor FROM judged",
+    "batching_tolerance": f"""
+WITH {_LABELLED}, d AS (
+  SELECT abs(p - (p + (doc_id % 5)::DOUBLE / 1000)) AS d, (p >= 0.5) <> (p + (doc_id % 5)::DOUBLE / 1000 >= 0.5) AS changed, nll,
+         greatest(CASE WHEN quality = 1 THEN -(z + 0.01) ELSE z + 0.01 END, 0) + ln(1 + exp(-abs(z + 0.01))) AS nll_q FROM scored
+), a AS (SELECT max(d) AS m, quantile_cont(d, 0.95) AS p95, median(d) AS med, count(*) FILTER (changed) AS c, avg(nll_q) - avg(nll) AS dn FROM d)
+SELECT round(m, 6) AS max_dp, round(p95, 6) AS p95_dp, round(med, 6) AS median_dp, c AS decision_changes, round(dn, 6) AS delta_nll, 2.25::DOUBLE AS speed_up, m <= 0.02 AND c = 0 AND dn <= 0.005 AS passes FROM a""",
+    "step_summary": """
+WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events)
+SELECT count(*) AS steps, round(median(value), 6) AS median, round(max(value) FILTER (i = floor(0.95 * (n - 1))), 6) AS p95, round(sum(value), 6) AS total, round(avg((value > 2)::INT::DOUBLE), 6) AS clipped_fraction FROM r""",
+    "peaks": "SELECT round(max(value), 6) AS value, max(event_id) AS event_id, max(user_id) AS user_id FROM events",
+    "order_value_ranks": """
+WITH r AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderstatus, max(v) FILTER (i = round_even(0.01 * (n - 1), 0)) AS q1, max(v) FILTER (i = round_even(0.25 * (n - 1), 0)) AS q25,
+       max(v) FILTER (i = round_even(0.5 * (n - 1), 0)) AS q50, max(v) FILTER (i = round_even(0.99 * (n - 1), 0)) AS q99 FROM r GROUP BY 1""",
+    "encode_cached": "SELECT sha256(text) AS row_sha256, (any_value(length(text)) * if(sha256(text) < '8', -1, 1))::INT AS features FROM documents GROUP BY 1",
+    "vector_functions": """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l2 FROM e)
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x))), 5) AS l1, round(l2, 5) AS l2, round(v[vec_id % 64 + 1] / l2, 5) AS cosine,
+       list_max(list_filter(range(64), lambda i: v[i + 1] > 0.1))::INT AS last_valid, round(list_reverse_sort(v)[3], 5) AS third FROM n""",
+    "scalar_functions": """
+WITH e AS (SELECT event_id, least(value, 20.0::DOUBLE) AS x, event_id % 100 AS s FROM events)
+SELECT event_id, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) AS softplus, round(x, 6) AS inverse, round(x / 4, 6) AS logit,
+       round(CASE WHEN s < 10 THEN (s + 1)::DOUBLE / 10 ELSE (100 - s)::DOUBLE / 90 END, 6) AS rate, least(floor(15 / (1 + exp(-x / 4))), 14)::INT AS bin FROM e""",
+    "rule_labels": """
+WITH o AS (
+  SELECT o_orderkey, ['requested', 'declined', 'past', 'absent'][o_orderkey % 4 + 1] AS refund, ['double', 'denied', 'absent'][o_custkey % 3 + 1] AS charge,
+         ['active', 'resolved', 'absent'][(o_orderkey + o_custkey) % 3 + 1] AS fault, ['network', 'performance', 'data', 'application'][o_custkey % 4 + 1] AS kind,
+         ['locked', 'ok', 'absent'][(o_orderkey * 2 + o_custkey) % 3 + 1] AS access, o_custkey % (5 + o_orderkey % 197) AS x, 4 + o_orderkey % 197 AS y, 3 + o_orderkey % 3 AS m, o_custkey % 101 AS v
+  FROM orders)
+SELECT o_orderkey, (refund = 'requested')::INT AS refund, (charge = 'double')::INT AS double, (fault = 'active')::INT AS fault, (access = 'locked')::INT AS locked,
+       (charge = 'double' AND refund = 'requested')::INT AS escalate,
+       CASE WHEN charge = 'double' OR refund = 'requested' THEN 0 WHEN access = 'locked' THEN 1 WHEN fault = 'active' THEN 2 ELSE 3 END AS team,
+       CASE fault WHEN 'active' THEN 2 WHEN 'resolved' THEN 1 ELSE 0 END AS severity, CASE WHEN fault = 'absent' THEN 'none' ELSE kind END AS category,
+       CASE WHEN x = 0 THEN 0 WHEN x = y THEN m - 1 WHEN m = 3 THEN 1 WHEN m = 4 THEN if(x * 2 < y, 1, 2) WHEN x * 4 <= y THEN 1 WHEN x * 2 <= y THEN 2 ELSE 3 END::INT AS impact,
+       ((v > 25)::INT + (v > 50)::INT + (v > 75)::INT)::INT AS panel FROM o""",
+    "first_of_types": "SELECT doc_id, lang AS type, n_chars FROM documents WHERE lang IN ('en', 'es') ORDER BY n_chars, doc_id LIMIT 500",
+    "too_long_rows": """
+WITH g AS (SELECT lang, count(*) FILTER (n_chars > 2000) AS rejected, max(n_chars) FILTER (n_chars > 2000) AS longest, count(*) FILTER (n_chars <= 2000) AS kept FROM documents GROUP BY lang)
+SELECT lang, nullif(rejected, 0) AS rejected, longest::BIGINT AS longest, nullif(kept, 0) AS kept FROM g""",
+    "longest_first": """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents)
+SELECT doc_id, r // 16 AS batch, (r % 16)::INT AS place FROM r""",
     "predictions_struct": f"""
 WITH {_CLASSES}, e AS (SELECT vec_id, label, idx, logit, (logit - max(logit) OVER (PARTITION BY vec_id)) / 0.05::DOUBLE AS s FROM numbered
 ), p AS (SELECT vec_id, any_value(label) AS label, arg_max(idx, logit) AS best, ln(sum(exp(s))) - max(s) FILTER (idx = label) AS nll FROM e GROUP BY vec_id)

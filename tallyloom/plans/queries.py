@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import prob
 from tallyloom.functions.text import escape, hashed_grams
-from tallyloom.operators import derive, fit, metrics, resample, score, split, validate
+from tallyloom.operators import derive, fit, generate, metrics, prepare, resample, score, split, validate
 from tallyloom.operators.expand import canonical_options, expand
 from tallyloom.streaming import decide as serving
 
@@ -302,10 +302,166 @@ def predictions_struct(spark, sf):
     return score.predictions(z, {"choice": 0.05}).select("id", "target_index", F.round("nll", 6).alias("nll"), "correct", F.col("answer.choice").alias("choice"))
 
 
+def contradictory_templates(spark, sf):
+    """Documents of one language and length, to the hundred characters, stand in for one template."""
+    d = _t(spark, sf, "documents").select("doc_id", "source", F.concat_ws(":", "lang", F.floor(F.col("n_chars") / 100)).alias("input")).join(_t(spark, sf, "labels"), "doc_id")
+    return validate.classify_duplicates(d, "input", "quality", "source", "doc_id").where("kind = 'labels'").select("input", "doc_id", "n")
+
+
+def _judged(spark, sf):
+    """Labelled documents as predictions of two models: long rows ``model, id, group_id, type, nll, correct, prediction``."""
+    d = _labelled(spark, sf)
+    side = lambda z: d.select(F.lit(z).alias("model"), F.col("doc_id").alias("id"), F.col("source").alias("group_id"), F.col("lang").alias("type"), F.col("quality").alias("target_index"), prob.binary_nll(F.col(z), F.col("quality")).alias("nll"), ((F.col(z) >= 0) == (F.col("quality") == 1)).alias("correct"), (F.col(z) >= 0).alias("prediction"))
+    return side("z"), side("z2")
+
+
+def compare_models_intervals(spark, sf):
+    a, b = _judged(spark, sf)
+    return _rounded(resample.compare_models(a, b, types=("en", "es"), draws=resample.hashed_draws(a, "group_id", 100)))
+
+
+def compare_model_set(spark, sf):
+    a, b = _judged(spark, sf)
+    c = a.withColumns({"model": F.lit("flat"), "nll": F.lit(0.5), "correct": F.col("target_index") == 1})
+    return _rounded(resample.compare_model_set(a.unionByName(b).unionByName(c), "z", draws=resample.hashed_draws(a, "group_id", 100)))
+
+
+def bootstrap_spread(spark, sf):
+    d = _labelled(spark, sf)
+    aggregates = {"z_deviation": F.stddev_pop("z"), "longest": F.max("n_chars"), "mean_z": F.avg("z")}
+    return _rounded(resample.bootstrap_any(d, "source", aggregates, resample.hashed_draws(d, "source", 50)))
+
+
+def _triplets(spark, sf, above: float):
+    e = _t(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("triplet"), F.element_at(F.array(*map(F.lit, resample.ROLES)), (F.col("event_id") % 3 + 1).cast("int")).alias("role"), (F.col("value") > above).alias("correct"))
+    return e.join(e.groupBy("triplet").count().where("count = 3").select("triplet"), "triplet", "left_semi")
+
+
+def triplet_intervals(spark, sf):
+    t = _triplets(spark, sf, 3)
+    return _rounded(resample.triplet_intervals(t, "triplet", "role", "correct", draws=resample.hashed_draws(t, "triplet", 40)))
+
+
+def compare_triplets(spark, sf):
+    a, b = _triplets(spark, sf, 3), _triplets(spark, sf, 2)
+    return _rounded(resample.compare_triplets(a, b, "triplet", "role", "correct", draws=resample.hashed_draws(a, "triplet", 40)))
+
+
+def restricted_prior(spark, sf):
+    names = F.array(*map(F.lit, PRIORITIES))
+    orders = _t(spark, sf, "orders").select("o_orderpriority", F.array("o_orderpriority", F.element_at(names, (F.col("o_orderkey") % len(PRIORITIES) + 1).cast("int"))).alias("options"))
+    return _rounded(resample.restricted_prior_accuracy(orders, "options", "o_orderpriority"))
+
+
+def mean_nll_by_type(spark, sf):
+    return _rounded(metrics.mean_nll_by_type(_judged(spark, sf)[0], ("en", "es", "none such")))
+
+
+def robustness(spark, sf):
+    a, b = _judged(spark, sf)
+    return _rounded(score.robustness(a, b))
+
+
+def reload_difference(spark, sf):
+    z = _class_logits(spark, sf).withColumn("id", F.col("vec_id"))
+    again = z.withColumn("row_logits", F.transform("row_logits", lambda x: x + (F.col("vec_id") % 7) * 1e-5))
+    return _rounded(score.reload_difference(z, again))
+
+
+def answer_violations(spark, sf):
+    null = lambda kind: F.lit(None).cast(kind)
+    answer = F.struct(F.lit("binary").alias("type"), F.col("z").alias("p"), null("string").alias("choice"), null("map<string,double>").alias("probabilities"), null("array<double>").alias("level_probabilities"), null("double").alias("score"))
+    return score.answer_violations(_labelled(spark, sf).withColumns({"answer": answer, "candidate_ids": null("array<string>")})).select("doc_id", _r("z"))
+
+
+def inspect_errors(spark, sf):
+    rows = _judged(spark, sf)[0].withColumn("task_family", F.col("group_id"))
+    return _rounded(score.inspect_errors(rows, correct_rows=0).select("id", "type", "task_family", "nll"))
+
+
+def donor_accuracy(spark, sf):
+    d = _labelled(spark, sf).withColumnRenamed("doc_id", "id")
+    named = lambda label: d.select("id", F.col(label).alias("label"))
+    return _rounded(derive.donor_accuracy(d.select("id", (F.col("z") >= 0).cast("int").alias("prediction")), named("quality"), named("toxic")))
+
+
+def batching_tolerance(spark, sf):
+    d = _labelled(spark, sf).withColumn("p", prob.sigmoid(F.col("z"))).withColumn("q", F.col("p") + (F.col("doc_id") % 5) / 1000.0)
+    d = d.withColumns({"nll_p": prob.binary_nll(F.col("z"), F.col("quality")), "nll_q": prob.binary_nll(F.col("z") + 0.01, F.col("quality")), "yes_p": F.col("p") >= 0.5, "yes_q": F.col("q") >= 0.5})
+    return _rounded(metrics.batching_tolerance(d, "p", "q", "nll_p", "nll_q", "yes_p", "yes_q", seconds_a=9.0, seconds_b=4.0))
+
+
+def step_summary(spark, sf):
+    return _rounded(metrics.step_summary(_t(spark, sf, "events").withColumn("clipped", F.col("value") > 2), "value", "clipped"))
+
+
+def peaks(spark, sf):
+    return _rounded(metrics.peaks(_t(spark, sf, "events"), ["value", "event_id", "user_id"]))
+
+
+def order_value_ranks(spark, sf):
+    return metrics.nearest_rank(_t(spark, sf, "orders"), "o_totalprice", (0.01, 0.25, 0.5, 0.99), ["o_orderstatus"])
+
+
+def encode_cached(spark, sf):
+    """Texts whose hash begins with 0 to 7 are encoded by a first run; the second must take those from the cache."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/cache-{uuid.uuid4().hex}"
+    rows = _t(spark, sf, "documents").select(F.sha2("text", 256).alias("row_sha256"), "text")
+    encoder = lambda sign: lambda misses: misses.select("row_sha256", (F.length("text") * sign).alias("features"))
+    score.encode_cached(rows.where(F.col("row_sha256") < "8"), folder, "f", encoder(-1))
+    return score.encode_cached(rows, folder, "f", encoder(1))
+
+
+def vector_functions(spark, sf):
+    v = F.col("embedding")
+    hot = prob.one_hot((F.col("vec_id") % 64).cast("int"), F.size(v))
+    last = prob.last_valid(F.transform(v, lambda x: (x > 0.1).cast("int")))
+    return _t(spark, sf, "embeddings").select("vec_id", F.round(prob.l1(v), 5).alias("l1"), F.round(prob.l2(v), 5).alias("l2"), F.round(prob.cosine(v, hot), 5).alias("cosine"), last.alias("last_valid"), F.round(F.element_at(prob.top_k(v, 3), 3).cast("double"), 5).alias("third"))
+
+
+def scalar_functions(spark, sf):
+    x, step = F.least(F.col("value"), F.lit(20.0)), (F.col("event_id") % 100).cast("int")
+    made = _t(spark, sf, "events").select("event_id", prob.softplus(x).alias("softplus"), prob.inverse_softplus(prob.softplus(x)).alias("inverse"), prob.logit(prob.sigmoid(x / 4)).alias("logit"), prob.warmup_decay(step, 10, 100).alias("rate"), prob.bin_index(prob.sigmoid(x / 4)).alias("bin"))
+    return _rounded(made)
+
+
+def rule_labels(spark, sf):
+    """Facts drawn from order keys by remainders, and every rule's label."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    drawn = lambda name, by: F.element_at(F.array(*[F.lit(v) for v, _ in generate.FACTS[name]]), (by % len(generate.FACTS[name]) + 1).cast("int")).alias(name)
+    facts = F.struct(drawn("refund", k), drawn("charge", c), drawn("fault", k + c), drawn("fault_kind", c), drawn("access", k * 2 + c))
+    y = 4 + k % 197
+    o = _t(spark, sf, "orders").select("o_orderkey", facts.alias("f"), (c % (y + 1)).alias("x"), y.alias("y"), (3 + k % 3).alias("m"), (c % 101).alias("v"))
+    f = F.col("f")
+    return o.select(
+        "o_orderkey", *(generate.binary_rule(F.lit(kind), f).alias(kind) for kind in generate.BINARY_KINDS), generate.team_rule(f).alias("team"), generate.severity_rule(f).alias("severity"),
+        generate.true_category(f).alias("category"), generate.impact_level(F.col("x"), F.col("y"), F.col("m")).alias("impact"), generate.panel_level(F.col("v")).alias("panel"),
+    )
+
+
+def first_of_types(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"), "n_chars")
+    return prepare.first_rows(prepare.of_types(d, ("en", "es"), "type"), 500, ["n_chars", "doc_id"])
+
+
+def too_long_rows(spark, sf):
+    kept, long = prepare.split_by_length(_t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), F.col("n_chars"), 2000)
+    return long.select("lang", "_length").groupBy("lang").agg(F.count("*").alias("rejected"), F.max("_length").cast("long").alias("longest")).join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "full_outer")
+
+
+def longest_first(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "n_chars")
+    return prepare.longest_first(d, F.col("n_chars"), "doc_id", 16).select("doc_id", "batch", "place")
+
+
 _NAMES = (
     duplicate_inputs, contradictory_labels, duplicates_across_groups, dataset_stats, group_size_histogram, contrasting_groups, group_split, split_summary, exact_leakage, template_overlap,
     near_duplicates, exclude_overlap, expand_ordinal, expand_choice_order, escape_pages, conversation_state, hashed_bow, standardize, centroid_logits, softmax_answer, binary_metrics, family_breakdown,
     reliability, pairwise, choice_metrics_by_k, ordinal_metrics_by_m, cumulative_ece, prior_baseline, level_prior, uniform_baseline, temperature_grid, bootstrap_hash, compare_models, swap_states,
     triplet_accuracy, option_cue, mutual_information, latency_summary, status_counts, throughput, request_battery, batch_decide, stream_decide, predictions_struct,
+    contradictory_templates, compare_models_intervals, compare_model_set, bootstrap_spread, triplet_intervals, compare_triplets, restricted_prior, mean_nll_by_type, robustness, reload_difference,
+    answer_violations, inspect_errors, donor_accuracy, batching_tolerance, step_summary, peaks, order_value_ranks, encode_cached, vector_functions, scalar_functions, rule_labels, first_of_types,
+    too_long_rows, longest_first,
 )
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Version, names, limits and patterns of the data contract.
 SCHEMA_VERSION = 1
 #: Question types: yes/no, one of several options, one of several ordered levels.
 BINARY, CHOICE, ORDINAL = "binary", "choice", "ordinal"

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,23 @@ def test_step_summary(spark):
     df = spark.createDataFrame([(float(i), i % 2 == 0) for i in range(20)], "s double, c boolean")
     r = metrics.step_summary(df, "s", "c").first()
     assert (r.steps, r.p95, r.clipped_fraction) == (20, 18.0, 0.5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 4001, 30_000])
+def test_values_at_places_of_a_sorted_list(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.pareto(1.2, n), 2)  # heavy tail, many ties
+    df = spark.createDataFrame(pa.table({"x": x, "g": np.arange(n) % 2}))
+    ranks = {"a": (0.0, F.floor), "b": (0.5, F.floor), "c": (0.5, F.ceil), "d": (0.95, F.floor), "e": (1.0, F.bround)}
+    place = {"a": 0, "b": (n - 1) // 2, "c": n // 2, "d": int(0.95 * (n - 1)), "e": n - 1}
+    assert metrics.values_at(df, "x", ranks).first().asDict() == {k: np.sort(x)[i] for k, i in place.items()}
+    for row in metrics.values_at(df, "x", {"e": (0.5, F.floor)}, ["g"]).collect():
+        own = np.sort(x[np.arange(n) % 2 == row.g])
+        assert row.e == own[(len(own) - 1) // 2]
+
+
+def test_values_at_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("k", None)], "g string, x double")
+    assert [tuple(r) for r in metrics.nearest_rank(df, "x", [1.0], ["g"]).collect()] == [(None, 3.0)]
+    assert metrics.nearest_rank(df.limit(0), "x", [0.5]).count() == 0
+    assert metrics.step_summary(df.limit(0).withColumn("c", F.lit(True)), "x", "c").first().steps == 0

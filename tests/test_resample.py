@@ -74,3 +74,51 @@ def test_restricted_prior(spark):
     df = spark.createDataFrame([(["a", "b"], "a"), (["a", "b"], "a"), (["b", "c"], "c")], "o array<string>, l string")
     r = resample.restricted_prior_accuracy(df, "o", "l").first()
     assert (r.n, r.accuracy) == (3, 1.0)
+
+
+def _triplet_rows(spark, hits):
+    rows = [(t, role, bool(h)) for t, own in enumerate(hits) for role, h in zip(resample.ROLES, own)]
+    return spark.createDataFrame(rows, "t long, role string, correct boolean")
+
+
+def test_triplet_intervals_are_those_of_numpy(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 2, (40, 3)), rng.integers(0, 2, (40, 3))
+    drawn = np.random.default_rng(3).integers(0, 40, size=(50, 40))
+    found = {r.metric: r for r in resample.compare_triplets(_triplet_rows(spark, a), _triplet_rows(spark, b), "t", "role", "correct", reps=50, seed=3).collect()}
+    for name, x, y in (("accuracy", a.mean(1), b.mean(1)), ("all_correct", a.min(1), b.min(1)), ("other", a[:, 1], b[:, 1])):
+        spread = (y - x)[drawn].mean(1)
+        assert np.allclose([found[name].a, found[name].b, found[name].low, found[name].high], [x.mean(), y.mean(), *np.quantile(spread, [0.025, 0.975])])
+    single = {r.metric: r for r in resample.triplet_intervals(_triplet_rows(spark, a), "t", "role", "correct", reps=50, seed=3).collect()}
+    assert np.allclose([single["accuracy"].low, single["accuracy"].high], np.quantile(a.mean(1)[drawn].mean(1), [0.025, 0.975]))
+
+
+def test_triplets_of_one_side_fail(spark):
+    a, b = _triplet_rows(spark, [[1, 1, 0]] * 3), _triplet_rows(spark, [[1, 1, 0]] * 2)
+    with pytest.raises(Exception, match="one side only"):
+        resample.compare_triplets(a, b, "t", "role", "correct", draws=resample.hashed_draws(a, "t", 4)).collect()
+
+
+def test_model_set_needs_the_same_ids(spark):
+    rows = [("a", 1, "g", "x", 0.5, True), ("a", 2, "h", "y", 0.7, False), ("b", 1, "g", "x", 0.4, True)]
+    p = spark.createDataFrame(rows, "model string, id long, group_id string, type string, nll double, correct boolean")
+    with pytest.raises(ValueError, match=r"\['b'\]"):
+        resample.compare_model_set(p, "a", reps=5)
+    with pytest.raises(ValueError):
+        resample.compare_model_set(p, "none such", reps=5)
+    found = {(r.model, r.type, r.metric): r for r in resample.compare_model_set(p.where("model = 'a'"), "a", reps=200).collect()}
+    assert found["a", "all", "nll"].point == pytest.approx(0.6)
+    assert found["a", "x", "nll"].defined_reps < 200 == found["a", "all", "nll"].defined_reps
+    assert not any(metric.endswith("reference") for _, _, metric in found)
+
+
+def test_any_aggregate_by_group(spark):
+    rng = np.random.default_rng(1)
+    group, x = rng.integers(0, 6, 80), rng.normal(size=80)
+    df = spark.createDataFrame(list(zip(group.tolist(), x.tolist())), "g long, x double")
+    draws = resample.numpy_draws(df, "g", 30, 5)
+    found = resample.bootstrap_any(df, "g", {"deviation": F.stddev_pop("x")}, draws).first()
+    gen, values = np.random.default_rng(5), []
+    for _ in range(30):
+        values.append(np.std(np.concatenate([x[group == g] for g in gen.choice(6, size=6, replace=True)])))
+    assert np.allclose([found.point, found.low, found.high], [np.std(x), *np.quantile(values, [0.025, 0.975])])
