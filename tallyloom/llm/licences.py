@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier with template confirmation.
 
-A paragraph (a line) is described by the word n-grams of one to three words that occur in the licence templates.
+A paragraph is a line, or a window of a long line or of a block of lines that no blank line parts, which finds notices
+inside long lines and notices wrapped over several. It is described by the word n-grams of one to three words that occur
+in the licence templates, each present or not.
 Sparse logistic regression, trained in numpy on noisy copies of the templates against a bounded sample of ordinary
 paragraphs, gives the probability of each licence family and of the class of unknown paragraphs, calibrated by a
 temperature on copies that training didn't see. A predicted family is confirmed by comparison with its templates.
@@ -49,6 +51,11 @@ NEAR_MISSES = (
 )
 #: Ordinary documents whose paragraphs are sampled as unknown ones, paragraphs of one of them, and noisy copies of a template.
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, COPIES = 300, 8, 14
+#: Characters of a sampled paragraph that the fit reads.
+SAMPLE_CHARACTERS = 4_000
+#: Words of a window and of its step. A family is confirmed over a window and its two neighbours, so every notice of up to
+#: 96 words lies whole in one of those spans.
+WINDOW, STEP = 64, 32
 STEPS, RATE, RIDGE = 150, 0.05, 1e-4
 SEED = 5
 #: The least probability of a family, and the least share of a template's word pairs that a paragraph holds (or, for part of a
@@ -93,8 +100,9 @@ class Vocabulary:
                     count += 1
         return cls(words, pair, triple, count)
 
-    def grams(self, words: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features and the units that hold them, of all words end to end; and which of them are pairs."""
+    def grams(self, words: np.ndarray, units: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features and the units (or, of their first words, the ``places``) that hold them, of all words end to end; and
+        which of them are pairs."""
         size, n = len(self.words) + 1, len(words)
         if not n:
             return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=bool),)
@@ -105,7 +113,7 @@ class Vocabulary:
         at = np.flatnonzero((pair[:-2] > 0) & (pair[1:-1] > 0)) if n > 2 else np.zeros(0, dtype=np.int64)
         triple[at] = self.triple[pair[at] - size + 1, words[at + 2]]
         features = np.concatenate([words.astype(np.int64), pair, triple])
-        owners = np.tile(units, 3)
+        owners = np.tile(units if places is None else places, 3)
         kinds = np.repeat([False, True, False], n)
         real = features > 0
         return features[real], owners[real], kinds[real]
@@ -120,17 +128,23 @@ class Classifier:
     templates: list[tuple[int, np.ndarray]]  # family and pairs
 
     def probabilities(self, features: np.ndarray, owners: np.ndarray, units: int) -> np.ndarray:
+        """Of every unit from 0, by the features it holds; how often it holds one makes no difference, as in the fit."""
+        held = np.unique(owners.astype(np.int64) * self.vocabulary.features + features)
+        unit, feature = np.divmod(held, self.vocabulary.features)
         logits = np.zeros((units, UNKNOWN + 1), dtype=np.float32)
-        np.add.at(logits, owners, self.weights[features])
+        if len(held):
+            at = np.flatnonzero(np.diff(unit, prepend=-1))
+            logits[unit[at]] = np.add.reduceat(self.weights[feature], at, axis=0)
         return _softmax((logits + self.bias) / np.float32(self.temperature))
 
+    def best_template(self, family: int, pairs: set[int]) -> tuple[float, np.ndarray]:
+        """The best agreement of a paragraph's known pairs with a template of ``family``, and that template's pairs."""
+        shares = [(sum(int(p) in pairs for p in template) / len(template), -k, template) for k, (own, template) in enumerate(self.templates) if own == family and len(template)]
+        share, _, template = max(shares, key=lambda x: x[:2], default=(0.0, 0, np.zeros(0, dtype=np.int64)))
+        return share, template
+
     def confirm(self, family: int, pairs: set[int]) -> float:
-        """The best agreement of a paragraph's known pairs with a template of ``family``."""
-        best = 0.0
-        for own, template in self.templates:
-            if own == family and len(template):
-                best = max(best, sum(int(p) in pairs for p in template) / len(template))
-        return best
+        return self.best_template(family, pairs)[0]
 
     def part_of(self, family: int, pairs: set[int], total: int) -> float:
         """The share of a paragraph's ``total`` pairs that one template of ``family`` holds."""
@@ -227,21 +241,28 @@ def train(background: list[str]) -> Classifier:
     return model
 
 
-def find(model: Classifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every confirmed paragraph: its text's place, its line, the family, the probability and the agreement."""
-    words, unit, owner, number = _units(texts, model.vocabulary)
+def _likely(chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units that hold a family by its probability; every unit's family and its probability."""
+    family = chance[:, :UNKNOWN].argmax(axis=1)
+    top = chance[np.arange(len(chance)), family]
+    return np.flatnonzero((top >= LEAST_PROBABILITY) & (top >= chance[:, UNKNOWN])), family, top
+
+
+#: A find: the text's place, the line, the family, the probability and the agreement.
+Find = tuple[int, int, int, float, float]
+
+
+def _in_lines(model: Classifier, words: np.ndarray, unit: np.ndarray, owner: np.ndarray, number: np.ndarray) -> list[Find]:
+    """Lines that are a notice, or a part of a long one, by themselves."""
     features, owners, pairs = model.vocabulary.grams(words, unit)
-    # A family is confirmed by word pairs, so only paragraphs with some need a probability.
+    # A family is confirmed by word pairs, so only lines with some need a probability.
     holders = np.unique(owners[pairs])
     slot = np.full(len(owner), -1)
     slot[holders] = np.arange(len(holders))
     real = slot[owners] >= 0
-    out: list[tuple[int, int, int, float, float]] = []
+    out: list[Find] = []
     if len(holders):
-        chance = model.probabilities(features[real], slot[owners[real]], len(holders))
-        family = chance[:, :UNKNOWN].argmax(axis=1)
-        top = chance[np.arange(len(holders)), family]
-        likely = np.flatnonzero((top >= LEAST_PROBABILITY) & (top >= chance[:, UNKNOWN]))
+        likely, family, top = _likely(model.probabilities(features[real], slot[owners[real]], len(holders)))
         pair_owner, pair_feature = owners[pairs], features[pairs]
         by = np.argsort(pair_owner, kind="stable")
         pair_owner, pair_feature = pair_owner[by], pair_feature[by]
@@ -253,30 +274,103 @@ def find(model: Classifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
             total = int(sizes[holders[i]]) - 1
             if held >= LEAST_HELD or (total >= ENOUGH_PAIRS and model.part_of(int(family[i]), own, total) >= LEAST_OWN):
                 out.append((int(owner[holders[i]]), int(number[holders[i]]), int(family[i]), float(top[i]), held))
+    return out
+
+
+def _begin(places: np.ndarray, pairs: int) -> int:
+    """Where the most of a template's known pairs begin to stand within the template's length (the first such place): a pair
+    that ordinary words before the notice share with it is no beginning."""
+    places = np.unique(places)
+    return int(places[np.argmax(np.searchsorted(places, places + pairs) - np.arange(len(places)))])
+
+
+def _in_windows(model: Classifier, words: np.ndarray, unit: np.ndarray, owner: np.ndarray, number: np.ndarray, known: list[Find]) -> list[Find]:
+    """Of every block of lines and family, the first notice in its windows, unless a line of the block is known for the
+    family. The line is that in which the notice's first known words stand."""
+    n = len(words)
+    if not n:
+        return []
+    first = np.ones(n, dtype=bool)
+    first[1:] = (np.diff(unit) > 1) | (owner[unit[1:]] != owner[unit[:-1]])
+    block, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, n))
+    ends = starts + sizes - 1
+    last = np.maximum(0, -((WINDOW - sizes) // STEP))  # number of a block's last window
+    offset = np.concatenate([[0], np.cumsum(last + 1)])
+    wanted = (sizes > WINDOW) | (unit[ends] > unit[starts])  # a short line by itself is a paragraph already
+    features, place, pairs = model.vocabulary.grams(words, block, np.arange(n))
+    real = wanted[block[place]]
+    features, place, pairs = features[real], place[real], pairs[real]
+    pos = place - starts[block[place]]
+    late = np.minimum(pos // STEP, last[block[place]])
+    again = (late > 0) & (pos < (late - 1) * STEP + WINDOW)
+    window = np.concatenate([late, late[again] - 1]) + offset[block[np.concatenate([place, place[again]])]]
+    features, place, pairs = (np.concatenate([x, x[again]]) for x in (features, place, pairs))
+
+    of_window = np.repeat(np.arange(len(sizes)), last + 1)
+    count = np.bincount(window[pairs], minlength=len(of_window))
+    near = count.copy()
+    near[1:] += np.where(of_window[1:] == of_window[:-1], count[:-1], 0)
+    near[:-1] += np.where(of_window[1:] == of_window[:-1], count[1:], 0)
+    least = min(int(np.ceil(LEAST_HELD * len(t))) for _, t in model.templates if len(t))
+    holders = np.flatnonzero((count > 0) & (near >= least))
+    if not len(holders):
+        return []
+    slot = np.full(len(of_window), -1)
+    slot[holders] = np.arange(len(holders))
+    real = slot[window] >= 0
+    likely, family, top = _likely(model.probabilities(features[real], slot[window[real]], len(holders)))
+    by = np.lexsort((place[pairs], window[pairs]))
+    pair_window, pair_feature, pair_place = window[pairs][by], features[pairs][by], place[pairs][by]
+    found = {(int(t), int(f), int(k)) for t, k, f, _, _ in known}
+    out: dict[tuple[int, int], Find] = {}
+    for i in likely:
+        w, f = int(holders[i]), int(family[i])
+        at = int(of_window[w])
+        if (at, f) in out:
+            continue
+        a, b = np.searchsorted(pair_window, [max(w - 1, offset[at]), min(w + 1, offset[at + 1] - 1) + 1])
+        held, template = model.best_template(f, set(pair_feature[a:b].tolist()))
+        text = int(owner[unit[starts[at]]])
+        lines = range(int(number[unit[starts[at]]]), int(number[unit[ends[at]]]) + 1)
+        if held >= LEAST_HELD and not any((text, f, k) in found for k in lines):
+            begins = _begin(pair_place[a:b][np.isin(pair_feature[a:b], template)], len(template))
+            out[at, f] = (text, int(number[unit[begins]]), f, float(top[i]), held)
+    return list(out.values())
+
+
+def find(model: Classifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every confirmed paragraph's text (by its place), line, family, probability and agreement, in order."""
+    split = _units(texts, model.vocabulary)
+    lines = _in_lines(model, *split)
+    out = sorted(lines + _in_windows(model, *split, lines))
     columns = list(zip(*out)) if out else [()] * 5
     return tuple(np.array(c, dtype=k) for c, k in zip(columns, (np.int64, np.int64, np.int64, np.float64, np.float64)))
 
 
 def fit(docs: DataFrame, *, sample_documents: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit with paragraphs of at most ``sample_documents`` documents, those of the least hashes, as unknown ones.
+    """Fit with paragraphs of at most ``sample_documents`` rows, those of the least hashes, as unknown ones.
 
-    Up to ``SAMPLE_PARAGRAPHS`` paragraphs of each are taken, evenly over its lines.
+    Up to ``SAMPLE_PARAGRAPHS`` lines of each are taken, evenly over its text, and of a line its first
+    ``SAMPLE_CHARACTERS``; only these leave the tasks.
     """
-    order = [F.xxhash64(F.lit(SEED), F.col(id_col).cast("string")), F.col(id_col)]
-    chosen = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").orderBy(*order).limit(sample_documents)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").collect()
-    background = []
-    for row in sorted(rows, key=lambda r: (str(r.doc_id), r.text or "")):
-        lines = (row.text or "").split("\n")
-        background += [lines[len(lines) * i // SAMPLE_PARAGRAPHS] for i in range(SAMPLE_PARAGRAPHS)] if len(lines) > SAMPLE_PARAGRAPHS else lines
-    return train(background)
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    some = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PARAGRAPHS - 1)), lambda i: F.get("_lines", F.floor(F.size("_lines") * i / SAMPLE_PARAGRAPHS).cast("int")))
+    taken = F.when(F.size("_lines") > SAMPLE_PARAGRAPHS, some).otherwise(F.col("_lines"))
+    rows = docs.select(F.col(id_col).alias("_id"), lines.alias("_lines"), F.xxhash64(text_col).alias("_print")).where("_id IS NOT NULL")
+    short = rows.select("_id", "_print", F.transform(taken, lambda x: F.substring(x, 1, SAMPLE_CHARACTERS)).alias("_taken"))
+    chosen = short.orderBy(F.xxhash64(F.lit(SEED), F.col("_id").cast("string")), "_id", "_print").limit(sample_documents).collect()
+    return train([line for row in sorted(chosen, key=lambda r: (str(r["_id"]), r["_taken"])) for line in row["_taken"]])
 
 
 def scan_licences(docs: DataFrame, model: Classifier | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph that a licence family is confirmed for: ``doc_id, line, family, probability, agreement``.
 
-    ``line`` counts the text's lines from 0. A null, empty or blank text has none. Repeated rows and null ids stay. An
-    empty table gives no rows; the model is then that of the templates alone.
+    Every line is judged; of a long line, or a block of lines without a blank one between, so are overlapping windows,
+    which add the first notice of each family that no line of the block has. ``line`` counts the text's lines from 0 and
+    is where the notice begins. A null, empty or blank text has none. Repeated rows and null ids stay; texts are judged
+    whole at any length; of equally likely families the first by name is taken. Other columns, whatever their names,
+    aren't read. An empty table gives no rows; the model is then that of the templates alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col=id_col, text_col=text_col))

@@ -73,6 +73,87 @@ def test_the_query_finds_whole_notices(spark):
     assert all(sum(w in known for w in words_of(rows[d][i])) >= 2 for d, i in found)
 
 
+def _wrapped(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_notices_inside_long_lines_and_wrapped_ones(spark, planted):
+    """Every whole notice of 12 words or more is found amid 2,000 words of one line, and over lines of 6 or 10 words: where
+    it begins, or in a line of it that is a notice's part by itself."""
+    _, _, model = planted
+    rng = random.Random(6)
+    ordinary = "the of and to a in is for that on with was as it by from at this which or an be".split() + [f"plain{i}" for i in range(60)]
+    said = lambda n: " ".join(rng.choice(ordinary) for _ in range(n))
+    rows, where = [], {}
+    for family in FAMILIES:
+        for template in TEMPLATES[family]:
+            if len(template.split()) >= 12:
+                for text, line in ((f"{said(rng.randrange(1000))} {template} {said(1000)}", 0), (f"{said(30)}\n\n{said(9)}\n{_wrapped(template.split(), 6)}\n{said(9)}", 3), (f"{said(700)}\n{_wrapped(template.split(), 10)}", 1)):
+                    where[len(rows)] = (family, line)
+                    rows.append((len(rows), text))
+    rows += [(10_000 + i, said(3000)) for i in range(10)] + [(10_100 + i, _wrapped(said(3000).split(), 9)) for i in range(10)]
+    out = scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.doc_id, set()).add((r.family, r.line))
+    missed = [(where[d], sorted(found.get(d, set()))) for d in where if not any(f == where[d][0] and k in where[d][1] for f, k in found.get(d, set()))]
+    assert len(missed) <= 0.05 * len(where), missed
+    assert not [d for d in found if d >= 10_000]
+    assert len(out) == len({(r.doc_id, r.family, r.line) for r in out})
+
+
+def test_windows_against_loops(planted):
+    """The windows' finds are those of a loop over every block's windows."""
+    import pyarrow as pa
+
+    from tallyloom.llm.licences import LEAST_HELD, LEAST_PROBABILITY, STEP, UNKNOWN, WINDOW, _in_lines, _in_windows, _units
+
+    _, _, model = planted
+    rng = random.Random(9)
+    pool = [t for f in FAMILIES for t in TEMPLATES[f]]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(["of", "the", "plain", "software", "is"]) for _ in range(rng.randrange(0, 120))] + rng.choice(pool).split()
+        texts.append("".join(w + rng.choice([" "] * 12 + ["\n", "\n\n"]) for w in words))
+    split = _units(pa.array(texts), model.vocabulary)
+    lines = _in_lines(model, *split)
+    expected = set()
+    for t, text in enumerate(texts):
+        block, blocks = [], []
+        for number, line in enumerate([*text.split("\n"), ""]):
+            if own := words_of(line):
+                block += [(number, w) for w in own]
+            elif block:
+                blocks.append(block)
+                block = []
+        for block in blocks:
+            if len(block) <= WINDOW and block[0][0] == block[-1][0]:
+                continue
+            coded = np.array([model.vocabulary.words.get(w, 0) for _, w in block], dtype=np.int32)
+            features, place, pairs = model.vocabulary.grams(coded, np.zeros(len(coded), dtype=np.int64), np.arange(len(coded)))
+            count = max(0, -(-(len(block) - WINDOW) // STEP)) + 1
+            seen = set()
+            for k in range(count):
+                inside = (place >= k * STEP) & (place < k * STEP + WINDOW)
+                if not (inside & pairs).any():
+                    continue
+                chance = model.probabilities(features[inside], np.zeros(inside.sum(), dtype=np.int64), 1)[0]
+                family = int(chance[:UNKNOWN].argmax())
+                if chance[family] < max(LEAST_PROBABILITY, chance[UNKNOWN]) or family in seen:
+                    continue
+                around = pairs & (place >= max(0, k - 1) * STEP) & (place < min(k + 1, count - 1) * STEP + WINDOW)
+                held, template = model.best_template(family, set(features[around].tolist()))
+                if held >= LEAST_HELD:
+                    seen.add(family)
+                    if not any(r[0] == t and r[2] == family and block[0][0] <= r[1] <= block[-1][0] for r in lines):
+                        places = sorted(set(place[around & np.isin(features, template)].tolist()))
+                        begin = max(places, key=lambda p: (sum(p <= q < p + len(template) for q in places), -p))
+                        expected.add((t, block[begin][0], family))
+    assert expected and {r[:3] for r in _in_windows(model, *split, lines)} == expected
+
+
 def test_awkward_rows_and_an_empty_table(planted, awkward, nothing):
     _, _, model = planted
     assert scan_licences(awkward, model).count() == 0
