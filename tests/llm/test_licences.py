@@ -88,8 +88,9 @@ def test_notices_inside_long_lines_and_wrapped_ones(spark, planted):
     for family in FAMILIES:
         for template in TEMPLATES[family]:
             if len(template.split()) >= 12:
+                wrapped = len(_wrapped(template.split(), 6).split("\n"))
                 for text, line in ((f"{said(rng.randrange(1000))} {template} {said(1000)}", 0), (f"{said(30)}\n\n{said(9)}\n{_wrapped(template.split(), 6)}\n{said(9)}", 3), (f"{said(700)}\n{_wrapped(template.split(), 10)}", 1)):
-                    where[len(rows)] = (family, line)
+                    where[len(rows)] = (family, range(line, line + (wrapped if line else 1)))
                     rows.append((len(rows), text))
     rows += [(10_000 + i, said(3000)) for i in range(10)] + [(10_100 + i, _wrapped(said(3000).split(), 9)) for i in range(10)]
     out = scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
