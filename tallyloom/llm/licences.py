@@ -357,9 +357,17 @@ def fit(docs: DataFrame, *, sample_documents: int = SAMPLE_DOCUMENTS, id_col: st
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     some = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PARAGRAPHS - 1)), lambda i: F.get("_lines", F.floor(F.size("_lines") * i / SAMPLE_PARAGRAPHS).cast("int")))
     taken = F.when(F.size("_lines") > SAMPLE_PARAGRAPHS, some).otherwise(F.col("_lines"))
-    rows = docs.select(F.col(id_col).alias("_id"), lines.alias("_lines"), F.xxhash64(text_col).alias("_print")).where("_id IS NOT NULL")
-    short = rows.select("_id", "_print", F.transform(taken, lambda x: F.substring(x, 1, SAMPLE_CHARACTERS)).alias("_taken"))
-    chosen = short.orderBy(F.xxhash64(F.lit(SEED), F.col("_id").cast("string")), "_id", "_print").limit(sample_documents).collect()
+    mark = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text_col).alias("_mark")
+    rows = docs.select(F.col(id_col).alias("_id"), lines.alias("_lines"), mark).where("_id IS NOT NULL")
+    short = rows.select("_id", "_mark", F.transform(taken, lambda x: F.substring(x, 1, SAMPLE_CHARACTERS)).alias("_taken"))
+    # Rows above a bound on the hash stay in their tasks; the bound is raised until enough are below it.
+    total, share = rows.count(), 4 * sample_documents
+    while True:
+        bound = min(2**63 - 1, (2**64 * share) // max(1, total) - 2**63)
+        chosen = short.where(F.col("_mark") <= F.lit(bound)).orderBy("_mark", "_id").limit(sample_documents).collect()
+        if len(chosen) >= min(sample_documents, total) or share >= total:
+            break
+        share *= 16
     return train([line for row in sorted(chosen, key=lambda r: (str(r["_id"]), r["_taken"])) for line in row["_taken"]])
 
 

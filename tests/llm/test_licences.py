@@ -155,6 +155,21 @@ def test_windows_against_loops(planted):
     assert expected and {r[:3] for r in _in_windows(model, *split, lines)} == expected
 
 
+def test_the_sample_is_the_rows_of_least_hashes(spark, monkeypatch):
+    """Whatever bound the rows are first cut by, also where copies of one row are many."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.llm import licences
+
+    monkeypatch.setattr(licences, "train", lambda lines: lines)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 1000, "same").otherwise(F.concat(F.lit("a\nb"), "id")).alias("text"))
+    marks = df.select("doc_id", "text", F.xxhash64(F.lit(licences.SEED), F.col("doc_id").cast("string"), "text").alias("m")).collect()
+    for size in (5, 40, 2000):
+        least = sorted(marks, key=lambda r: (r.m, r.doc_id))[:size]
+        expected = sorted((str(r.doc_id), r.text.split("\n")) for r in least)
+        assert licences.fit(df, sample_documents=size) == [line for _, lines in expected for line in lines]
+
+
 def test_awkward_rows_and_an_empty_table(planted, awkward, nothing):
     _, _, model = planted
     assert scan_licences(awkward, model).count() == 0
