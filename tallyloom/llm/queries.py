@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallyloom.llm.alignment import align
 from tallyloom.llm.binpack import read_tokens, write_tokens
 from tallyloom.llm.common import shared_dir
+from tallyloom.llm.codebooks import encode_vectors
 from tallyloom.llm.decontam import contaminated
+from tallyloom.llm.exact import dedup_exact
 from tallyloom.llm.licences import scan_licences
 from tallyloom.llm.lines import dedup_lines
 from tallyloom.llm.mixing import mix_sources
@@ -79,6 +82,20 @@ def op10_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("agreement", 6).alias("agreement"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_vectors(_table(spark, sf_dir, "embeddings"), columns=["label"])
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_exact(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
@@ -90,6 +107,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_scan_licences": op10_scan_licences,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_dedup_exact": op12_dedup_exact,
+    "op13_align_tokens": op13_align_tokens,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -175,4 +195,58 @@ SELECT r.page_id, r.host, r.path, r.rule,
 FROM ruled r JOIN scored s USING (text)
 """
 
-ORACLES: dict[str, str] = {"op5_dedup_lines": _OP5_SQL, "op9_url_filter": _OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+_OP12_SQL = """
+WITH rows AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), groups AS (
+  SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
+FROM rows JOIN groups USING (text)
+"""
+
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Full scans, with a common table for each round's codes and codebooks."""
+    tables = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v,
+         row_number() OVER (ORDER BY vec_id) - 1 AS rank
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), places AS MATERIALIZED (
+  SELECT vec_id, rank, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS part
+  FROM kept, range({parts}) AS r(p)
+), book0 AS MATERIALIZED (SELECT p, rank AS e, part AS entry FROM places WHERE rank < {entries})"""]
+    for r in range(rounds + 1):
+        tables.append(f"""
+code{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(part) AS part, min({{d: d, e: e}}) AS best
+  FROM (SELECT vec_id, places.p, part, e,
+               list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM places JOIN book{r} USING (p))
+  GROUP BY vec_id, p)""")
+        if r < rounds:
+            tables.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.entry, b.entry) AS entry
+  FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS entry
+    FROM (SELECT p, best.e AS e, i, sum(part[i])::DOUBLE AS s, count(*) AS n
+          FROM code{r}, generate_series(1, len(part)) AS g(i) GROUP BY ALL)
+    GROUP BY p, e) n USING (p, e))""")
+    return f"""WITH {", ".join(tables)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM code{rounds} GROUP BY vec_id
+), summed AS (
+  SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label
+)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(list_aggregate(entry, 'string_agg', ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id) JOIN summed ON kept.label IS NOT DISTINCT FROM summed.label
+"""
+
+
+ORACLES: dict[str, str] = {"op11_vector_codes": _op11_sql(), "op5_dedup_lines": _OP5_SQL, "op9_url_filter": _OP9_SQL, "op12_dedup_exact": _OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
