@@ -5,34 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import prob
+from tallyloom.operators.draws import draw_counts, plan_draws, sorted_ranks, weighted_sums
 from tallyloom.operators.split import hash_ranks
 
-#: Groups up to which ``draws_of`` takes numpy's draws, made on the driver; beyond it, draws are hashed by the executors.
-DRIVER_GROUPS = 20_000
+#: Groups times summed columns up to which a bootstrap sends groups' sums to the tasks that make repetitions.
+ARRAY_CELLS = 8_000_000
 
 
-def numpy_draws(df: DataFrame, group: str, reps: int, seed: int, *, together: bool = False) -> DataFrame:
-    """``(rep, group, times)``: draws of ``numpy.random.default_rng(seed)`` over the sorted groups.
+def numpy_draws(df: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
+    """``(rep, group, times)``: draws of ``numpy.random.default_rng(seed)`` over the sorted groups, made by the executors.
 
-    ``together`` draws all repetitions by one call, as triplets do; the two are different draws.
+    ``choice`` once a repetition and ``integers`` for all of them at once are the same draws. A null group comes first.
     """
-    keys = sorted(r[0] for r in df.select(group).distinct().limit(DRIVER_GROUPS + 1).collect())
-    if len(keys) > DRIVER_GROUPS:
-        raise ValueError(f"more than {DRIVER_GROUPS} groups: use hashed_draws")
-    rng, n = np.random.default_rng(seed), len(keys)
-    drawn = rng.integers(0, n, size=(reps, n)) if together else (rng.choice(n, size=n, replace=True) for _ in range(reps))
-    counted = [np.unique(d, return_counts=True) for d in drawn]
-    rep = np.repeat(np.arange(reps, dtype=np.int32), [len(i) for i, _ in counted])
-    place, times = (np.concatenate([c[k] for c in counted]).astype(np.int32) if counted else np.zeros(0, np.int32) for k in (0, 1))
-    spark = df.sparkSession
-    named = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"_i long, {group} {df.schema[group].dataType.simpleString()}")
-    made = spark.createDataFrame(pa.table({"rep": rep, "_i": place, "times": times}))
-    return made.select(*(F.col(c).cast("long").alias(c) for c in made.columns)).join(named, "_i").drop("_i")
+    ranked, n = sorted_ranks(df.select(group).distinct(), group)
+    if not n:
+        return ranked.select(F.lit(0).cast("long").alias("rep"), group, F.lit(0).cast("long").alias("times")).limit(0)
+    return draw_counts(df.sparkSession, plan_draws(df.sparkSession, n, reps, seed)).join(ranked, F.col("rank") == F.col("_rank")).select("rep", group, "times")
 
 
 def hashed_draws(df: DataFrame, group: str, reps: int) -> DataFrame:
@@ -45,12 +37,6 @@ def hashed_draws(df: DataFrame, group: str, reps: int) -> DataFrame:
     return times.join(ranked, "_rank").drop("_rank")
 
 
-def draws_of(df: DataFrame, group: str, reps: int, seed: int, *, together: bool = False) -> DataFrame:
-    """numpy's draws up to ``DRIVER_GROUPS`` groups, which repeat published intervals; beyond them hashed ones."""
-    few = df.select(group).distinct().limit(DRIVER_GROUPS + 1).count() <= DRIVER_GROUPS
-    return numpy_draws(df, group, reps, seed, together=together) if few else hashed_draws(df, group, reps)
-
-
 def _intervals(values: DataFrame, keys: Sequence[str], level: float) -> DataFrame:
     """``low, high, defined_reps`` of ``value`` by ``keys``; undefined repetitions are counted out."""
     alpha = (1 - level) / 2
@@ -58,16 +44,45 @@ def _intervals(values: DataFrame, keys: Sequence[str], level: float) -> DataFram
     return found.select(*keys, F.col("_i")[0].alias("low"), F.col("_i")[1].alias("high"), "defined_reps")
 
 
-def bootstrap(df: DataFrame, group: str, sums: dict[str, tuple[str, str]], draws: DataFrame, *, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+def _resampled_sums(per_group: DataFrame, group: str, by: Sequence[str], parts: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """``rep, *by, *parts``: sums over the groups that numpy's draws take.
+
+    Up to ``ARRAY_CELLS`` the groups' sums go to the tasks, each of which makes whole repetitions, so that draws aren't
+    shuffled. Beyond, the draws are joined to the groups.
+    """
+    spark = per_group.sparkSession
+    ranked, n = sorted_ranks(per_group.select(group).distinct(), group)
+    rows = per_group.join(ranked.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).select("_rank", *by, *parts)
+    if not n:
+        return rows.withColumnRenamed("_rank", "rep").limit(0)
+    draws = plan_draws(spark, n, reps, seed)
+    if rows.count() * len(parts) > ARRAY_CELLS:
+        drawn = draw_counts(spark, draws).join(rows, F.col("rank") == F.col("_rank"))
+        return drawn.groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in parts))
+    table = rows.toArrow()
+    named = list(zip(*(table.column(c).to_pylist() for c in by))) if by else [()] * table.num_rows
+    keys = {k: i for i, k in enumerate(dict.fromkeys(named))}
+    values = np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in parts], axis=1)
+    sums = weighted_sums(spark, draws, table.column("_rank").to_numpy(), np.array([keys[k] for k in named], dtype=np.int64), values, len(keys))
+    kinds = ", ".join(["_key long", *(f"`{c}` {per_group.schema[c].dataType.simpleString()}" for c in by)])
+    told = F.broadcast(spark.createDataFrame([(i, *k) for k, i in keys.items()], kinds))  # one row for each value of ``by``
+    return sums.join(told, F.col("key") == F.col("_key")).select("rep", *by, *(F.col("sums")[i].alias(c) for i, c in enumerate(parts)))
+
+
+def bootstrap(df: DataFrame, group: str, sums: dict[str, tuple[str, str]], draws: DataFrame | None = None, *, reps: int = 1000, seed: int = 0, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """``*by, metric, point, low, high, defined_reps`` of ratios of sums, by resampling whole groups.
 
     ``sums`` gives each metric's numerator and denominator columns. Groups are summed once, repetitions are weighted sums
     of them, for each value of ``by`` (never null). A repetition whose denominator is 0, or that draws no group with a
-    value of ``by``, leaves the metric undefined and is dropped and counted out.
+    value of ``by``, leaves the metric undefined and is dropped and counted out. Without ``draws``, ``reps`` repetitions
+    are numpy's for ``seed``, whatever the number of groups.
     """
     parts = sorted({c for pair in sums.values() for c in pair})
     per_group = df.groupBy(group, *by).agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in parts))
-    weighted = draws.join(per_group, group).groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in parts))
+    if draws is None:
+        weighted = _resampled_sums(per_group, group, by, parts, reps, seed)
+    else:
+        weighted = draws.join(per_group, group).groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in parts))
     metrics = F.array(*[F.struct(F.lit(m).alias("metric"), prob.safe_div(F.col(a), F.col(b)).alias("value")) for m, (a, b) in sums.items()])
     named = lambda frame: frame.select(*by, F.explode(metrics).alias("m")).select(*by, "m.metric", "m.value")
     point = named(per_group.groupBy(*by).agg(*(F.sum(c).alias(c) for c in parts))).withColumnRenamed("value", "point")
@@ -135,7 +150,7 @@ def compare_models(a: DataFrame, b: DataFrame, *, types: Sequence[str], reps: in
         here = F.when(F.col("type") == t, 1.0).otherwise(0.0)
         rows = rows.withColumns({f"one_{i}": here, f"nll_{i}": here * F.col("d_nll"), f"correct_{i}": here * F.col("d_correct")})
         sums |= {f"b_minus_a.{t}.nll": (f"nll_{i}", f"one_{i}"), f"b_minus_a.{t}.accuracy": (f"correct_{i}", f"one_{i}")}
-    return bootstrap(rows, "group_id", sums, draws or draws_of(rows, "group_id", reps, seed), level=level)
+    return bootstrap(rows, "group_id", sums, draws, reps=reps, seed=seed, level=level)
 
 
 def compare_model_set(predictions: DataFrame, reference: str, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
@@ -158,7 +173,7 @@ def compare_model_set(predictions: DataFrame, reference: str, *, reps: int = 100
         (F.col("nll") - F.col("_nll")).alias("d_nll"), (correct - F.col("_correct").cast("double")).alias("d_correct"), F.lit(1.0).alias("one"),
     )
     sums = {"nll": ("nll", "one"), "accuracy": ("correct", "one"), "nll_minus_reference": ("d_nll", "one"), "accuracy_minus_reference": ("d_correct", "one")}
-    found = bootstrap(rows, "group_id", sums, draws or draws_of(rows, "group_id", reps, seed), level=level, by=["model", "type"])
+    found = bootstrap(rows, "group_id", sums, draws, reps=reps, seed=seed, level=level, by=["model", "type"])
     return found.where((F.col("model") != reference) | ~F.col("metric").endswith("_minus_reference"))
 
 
@@ -186,7 +201,7 @@ def triplet_intervals(df: DataFrame, triplet: str, role: str, correct: str, role
     """``metric, point, low, high, defined_reps`` of ``accuracy``, ``all_correct`` and each role, by resampling triplets."""
     rows = _whole_triplets(df, triplet, role, correct, roles).withColumn("one", F.lit(1.0))
     sums = {m: (m, "one") for m in ("accuracy", "all_correct", *roles)}
-    return bootstrap(rows, triplet, sums, draws or draws_of(rows, triplet, reps, seed, together=True), level=level)
+    return bootstrap(rows, triplet, sums, draws, reps=reps, seed=seed, level=level)
 
 
 def compare_triplets(a: DataFrame, b: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ROLES, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
@@ -200,7 +215,7 @@ def compare_triplets(a: DataFrame, b: DataFrame, triplet: str, role: str, correc
     both = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a triplet is on one side only"))).otherwise(F.col("_a"))
     rows = joined.withColumn(triplet, both).withColumns({"one": F.lit(1.0), **{f"d_{m}": F.col(f"b_{m}") - F.col(f"a_{m}") for m in metrics}})
     means = rows.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.avg(f"a_{m}").alias("a"), F.avg(f"b_{m}").alias("b")) for m in metrics]).alias("m")).select(F.explode("m").alias("m")).select("m.*")
-    spread = bootstrap(rows, triplet, {m: (f"d_{m}", "one") for m in metrics}, draws or draws_of(rows, triplet, reps, seed, together=True), level=level)
+    spread = bootstrap(rows, triplet, {m: (f"d_{m}", "one") for m in metrics}, draws, reps=reps, seed=seed, level=level)
     return means.join(spread.withColumnRenamed("point", "b_minus_a"), "metric")
 
 
