@@ -120,13 +120,6 @@ def exclude_overlap(df: DataFrame, reference: DataFrame, group: str, key: str) -
     return df.join(hit, group, "left_anti")
 
 
-def plan_digest(assigned: DataFrame, group: str) -> str:
-    """SHA-256 of the sorted ``group:split`` lines, over digests of 4096 hash ranges, so that no task holds all lines."""
-    lines = assigned.select(F.concat_ws(":", group, "split").alias("line")).withColumn("p", F.substring(F.sha2("line", 256), 1, 3))
-    parts = lines.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "d"))), "\n"), 256)).first()[0]
-
-
 def check_split(examples: DataFrame, manifest: DataFrame, *, ident: str = "id", group: str = "group_id", digest: str = "input_sha256") -> None:
     """The manifest (id, group, split, digest) must name every example once, with its group and digest, and no group twice."""
     joined = examples.alias("e").join(manifest.alias("m"), F.col(f"e.{ident}") == F.col(f"m.{ident}"), "full_outer")
