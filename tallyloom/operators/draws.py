@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.shared import cut
+
 #: Outputs of the generator (two words each) in a block at least, the most blocks, and outputs that are made together.
 BLOCK_OUTPUTS, MOST_BLOCKS, CHUNK = 1 << 17, 1 << 16, 1 << 17
 #: Draws of one repetition that are counted together; a repetition of more groups may name a group several times.
@@ -155,8 +157,7 @@ def sorted_ranks(groups: DataFrame, column: str) -> tuple[DataFrame, int]:
     """
     spark = groups.sparkSession
     dealt = groups.repartitionByRange(F.col(column).asc_nulls_first()).sortWithinPartitions(F.col(column).asc_nulls_first())
-    placed = dealt.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _set_shared(spark) else placed.persist()
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offsets, n = [], 0
@@ -166,11 +167,3 @@ def sorted_ranks(groups: DataFrame, column: str) -> tuple[DataFrame, int]:
     before = F.broadcast(spark.createDataFrame(offsets, "_p long, _before long"))  # one row a partition
     rank = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")
     return placed.join(before, part == F.col("_p")).withColumn("_rank", rank).drop("_at", "_p", "_before"), n
-
-
-def _set_shared(spark: SparkSession) -> bool:
-    """Take the folder that the session names for checkpoints, if it names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-    return bool(named)

@@ -194,12 +194,3 @@ def generate_mixed(spark: SparkSession, cases: int, seed: int, questions: int =
 
 def generate_binary(spark: SparkSession, cases: int, seed: int, questions: int = 5) -> DataFrame:
     return generate_mixed(spark, cases, seed, questions, only=BINARY)
-
-
-def generate_panels(spark: SparkSession, panels: int, seed: int, bars: int = 4) -> DataFrame:
-    """``panel, split_style, values, largest, levels``: facts and labels of bar panels; styles differ by split. Not rendered."""
-    base = spark.range(panels).withColumnRenamed("id", "panel")
-    values = F.transform(F.sequence(F.lit(0), F.lit(bars - 1)), lambda i: (1 + F.floor(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "panel", i), 11) / float(1 << 53) * 99)).cast("int"))
-    style = F.concat(F.lit("style-"), F.pmod(F.xxhash64(F.lit(seed), F.lit("style"), "panel"), F.lit(4)).cast("string"))
-    out = base.withColumns({"values": values, "split_style": style})
-    return out.withColumns({"largest": (F.array_position("values", F.array_max("values")) - 1).cast("int"), "levels": F.transform("values", panel_level)})

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tallyloom import schema as S
 from tallyloom.functions.text import canonical_json
 from tallyloom.operators.validate import record_errors
+from tallyloom.sources.png import DamagedImage, decode
 
 #: Question types as data files name them, and as they are named here.
 TYPE_NAMES = {"noul": S.BINARY, "choice": S.CHOICE, "score": S.ORDINAL, **{t: t for t in S.TYPES}}
@@ -226,7 +227,10 @@ def _jpg_size(content: bytes) -> tuple[int, int] | None:
 
 
 def image_error(name: str, content: bytes) -> str | None:
-    """What is wrong with an image: its size, format, pixels, animation, or its name, which is the content's hash."""
+    """What is wrong with an image: its size, format, pixels, animation, its name, which is the content's hash, or its data.
+
+    PNG files are decoded whole. JPEG files are only where Pillow is; elsewhere they are ``undecoded``, never sound.
+    """
     if len(content) > S.MAX_IMAGE_BYTES:
         return "bytes"
     png, jpg = content.startswith(b"\x89PNG\r\n\x1a\n"), content.startswith(b"\xff\xd8\xff")
@@ -244,10 +248,16 @@ def image_error(name: str, content: bytes) -> str | None:
         return "hash"
     if ending not in (("png",) if png else ("jpg", "jpeg")):
         return "ending"
+    if png:
+        try:
+            decode(content, S.MAX_IMAGE_PIXELS)
+        except DamagedImage:
+            return "damaged"
+        return None
     try:
         from PIL import Image
     except ModuleNotFoundError:
-        return None
+        return "undecoded"
     try:
         Image.open(io.BytesIO(content)).convert("RGB")
     except Exception:  # any decoder's error means the same
@@ -256,7 +266,7 @@ def image_error(name: str, content: bytes) -> str | None:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``path, bytes, sha256, error`` of image files; a null error means that the image is sound. Decoding needs Pillow."""
+    """``path, bytes, sha256, error`` of image files; a null error means that the image is sound, decoded whole."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
