@@ -5,11 +5,11 @@ Gradients are sums over rows and are computed by Spark for every step; the drive
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +65,19 @@ def sparse_vectors(df: DataFrame, features: str, buckets: int) -> DataFrame:
     return numbers.transform(named).drop("_w")
 
 
+def _sums(weights: np.ndarray, lists) -> np.ndarray:
+    """The sum of the weights that each list of buckets names; a null list names none."""
+    sizes = np.array([0 if x is None else len(x) for x in lists])
+    named = [x for x in lists if x is not None and len(x)]
+    flat = np.concatenate(named).astype(np.int64) if named else np.zeros(0, dtype=np.int64)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weights[flat], minlength=len(sizes))
+
+
 def bow_logits(model, df: DataFrame, features: str, *, buckets: int = BUCKETS) -> DataFrame:
-    w = model.coefficients.toArray()
-    weights, bias = df.sparkSession.sparkContext.broadcast(w), float(model.intercept)
-    score = F.pandas_udf(lambda s: s.map(lambda ix: bias + float(weights.value[np.asarray(ix, dtype=np.int64)].sum()) if ix is not None else None), "double")
-    return df.withColumn("logit", score(F.col(features)))
+    """``df`` with ``logit``: the intercept and the weights of a row's buckets; null where ``features`` is."""
+    sent, bias = df.sparkSession.sparkContext.broadcast(model.coefficients.toArray()), float(model.intercept)
+    score = F.pandas_udf(lambda s: pd.Series(bias + _sums(sent.value, s)), "double")
+    return df.withColumn("logit", F.when(F.col(features).isNotNull(), score(F.coalesce(F.col(features), F.array().cast("array<int>")))))
 
 
 def _minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 8, tolerance: float = 1e-8) -> np.ndarray:
@@ -105,6 +113,34 @@ def _minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start
     return x
 
 
+def group_losses(z: np.ndarray, ends: np.ndarray, target: np.ndarray, rps_weight: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Each question's loss, and the loss's derivative by each candidate's logit; a question's candidates end at ``ends``.
+
+    Questions of all lengths are handled together by sums over their stretches.
+    """
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    question = np.repeat(np.arange(len(ends)), sizes)
+    p = np.exp(z - np.maximum.reduceat(z, starts)[question])
+    p /= np.add.reduceat(p, starts)[question]
+    own = starts + target
+    loss, pull = -np.log(np.maximum(p[own], prob.FLOOR)), p.copy()
+    pull[own] -= 1
+    if rps_weight:
+        place = np.arange(len(z)) - starts[question]
+        summed = np.cumsum(p)
+        until = summed - (summed[starts] - p[starts])[question]
+        last = place == (sizes - 1)[question]
+        miss = np.where(last, 0.0, until - (target[question] <= place))
+        share = np.maximum(1, sizes - 1)
+        loss = loss + rps_weight * np.add.reduceat(miss**2, starts) / share
+        step = 2 * miss / share[question]
+        passed = np.cumsum(step) - step
+        back = np.add.reduceat(step, starts)[question] - (passed - passed[starts][question])
+        pull += rps_weight * p * (back - np.add.reduceat(p * back, starts)[question])
+    return loss, pull
+
+
 def conditional_logit(groups: DataFrame, features: str, target: str, dimensions: int, *, ridge: float = RIDGE, rps_weight: float = 0.0, steps: int = 60, dense: bool = False) -> np.ndarray:
     """Weights of one linear score per candidate that maximise the likelihood of the target among its group.
 
@@ -118,31 +154,26 @@ def conditional_logit(groups: DataFrame, features: str, target: str, dimensions:
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(w)
 
-        def part(batches):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, slope = 0.0, np.zeros(dimensions)
             for batch in batches:
-                for x, t in zip(batch["x"], batch["t"]):
-                    xs = [np.asarray(v, dtype=np.float64 if dense else np.int64) for v in x]
-                    z = np.array([v @ sent.value if dense else sent.value[v].sum() for v in xs])
-                    p = np.exp(z - z.max())
-                    p /= p.sum()
-                    pull = p.copy()
-                    pull[t] -= 1
-                    loss -= math.log(max(p[t], prob.FLOOR))
-                    if rps_weight:
-                        miss = np.cumsum(p)[:-1] - (t <= np.arange(len(p) - 1))
-                        loss += rps_weight * float((miss**2).sum()) / (len(p) - 1)
-                        back = np.append(np.cumsum((2 * miss / (len(p) - 1))[::-1])[::-1], 0)
-                        pull += rps_weight * p * (back - p @ back)
-                    for v, g in zip(xs, pull):
-                        if dense:
-                            slope += g * v
-                        else:
-                            np.add.at(slope, v, g)
+                if not batch.num_rows:
+                    continue
+                groups = batch.column("x")
+                ends = np.cumsum(groups.value_lengths().to_numpy(zero_copy_only=False))
+                candidates = groups.flatten()
+                sizes = candidates.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = candidates.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                x = flat.astype(np.float64).reshape(-1, dimensions) if dense else flat.astype(np.int64)
+                z = x @ sent.value if dense else np.bincount(owner, weights=sent.value[x], minlength=len(sizes))
+                told, pull = group_losses(z, ends, batch.column("t").to_numpy(zero_copy_only=False).astype(np.int64), rps_weight)
+                loss += float(told.sum())
+                slope += pull @ x if dense else np.bincount(x, weights=pull[owner], minlength=dimensions)
             at = np.flatnonzero(slope)
-            yield pd.DataFrame({"i": np.append(at, -1), "v": np.append(slope[at], loss)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(slope[at], loss))], ["i", "v"])
 
-        summed = rows.mapInPandas(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        summed = rows.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         slope, loss = np.zeros(dimensions), 0.0
         for r in summed:
             if r.i < 0:
@@ -204,6 +235,39 @@ def baseline_logits(train: DataFrame, df: DataFrame) -> DataFrame:
     return binary.unionByName(choice).unionByName(level_prior_logits(df.where(F.col("question_type") == ORDINAL), fitted, "n_candidates"), allowMissingColumns=True)
 
 
+def bag_baseline(train: DataFrame, df: DataFrame, features: str = "features", *, buckets: int = BUCKETS, ridge: float = RIDGE, steps: int = 60) -> DataFrame:
+    """``row_logits`` of the hashed-bag baselines for all types, each fitted on ``train``'s questions of its type only.
+
+    Both hold ``question_type, target_index`` and in ``features`` the buckets of each candidate. Binary questions get a
+    logistic regression over their one candidate, choices and ordinal ones a weight per bucket shared by a question's
+    candidates. A type that ``train`` has no question of, or for a binary one no two labels, gets zeros. The three
+    models (a number a bucket each) go to the tasks; the rows of ``df`` stay where they are.
+    """
+    counts = {(r[0], r[1]): r[2] for r in train.groupBy("question_type", F.when(F.col("question_type") == BINARY, F.col("target_index"))).count().collect()}
+    models: dict[str, tuple[np.ndarray, float]] = {}
+    if counts.get((BINARY, 0)) and counts.get((BINARY, 1)):
+        fitted = bow_logistic(train.where(F.col("question_type") == BINARY).withColumn("_f", F.element_at(features, 1)), "_f", "target_index", buckets=buckets, ridge=ridge)
+        models[BINARY] = (fitted.coefficients.toArray(), float(fitted.intercept))
+    for kind in (CHOICE, ORDINAL):
+        if counts.get((kind, None)):
+            models[kind] = (conditional_logit(train.where(F.col("question_type") == kind), features, "target_index", buckets, ridge=ridge, steps=steps), 0.0)
+    sent = df.sparkSession.sparkContext.broadcast(models)
+
+    def score(lists: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = [None] * len(lists)
+        for kind in kinds.unique():
+            at = np.flatnonzero((kinds == kind).to_numpy())
+            weights, bias = sent.value.get(kind, (np.zeros(buckets), 0.0))
+            told = [x for i in at for x in lists.iloc[i]]
+            logits, start = bias + _sums(weights, told), 0
+            for i in at:
+                out[i] = logits[start : start + len(lists.iloc[i])].tolist()
+                start += len(lists.iloc[i])
+        return pd.Series(out)
+
+    return df.withColumn("row_logits", F.pandas_udf(score, "array<double>")(F.col(features), F.col("question_type")))
+
+
 def overfit_gate(accuracy: float, nll: float, *, most_nll: float = 0.05) -> None:
     """Training on a handful of rows must fit them: accuracy 1 and a small NLL."""
     if accuracy < 1 or nll >= most_nll:
