@@ -12,6 +12,19 @@ from tallyloom.sources.sinks import read_text
 KEPT = 2
 
 
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file whole under another name; one rename then puts it in the place of ``name``, whatever was there."""
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+    part, where = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (f"_{name}", name))
+    files = where.getFileSystem(configuration)
+    stream = files.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), configuration).rename(files.makeQualified(part), files.makeQualified(where), over)
+
+
 class Snapshots:
     """``save`` writes ``snapshot-N.json`` and then moves ``LATEST`` to it in one rename; older ones but the last go.
 
@@ -26,16 +39,7 @@ class Snapshots:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def _put(self, name: str, text: str) -> None:
-        """Write a file whole under another name, then take the place of ``name`` by one rename."""
-        jvm, part, where = self.spark._jvm, self._path(f"_{name}"), self._path(name)
-        configuration = self.spark._jsc.hadoopConfiguration()
-        stream = where.getFileSystem(configuration).create(part, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        files = where.getFileSystem(configuration)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), configuration).rename(files.makeQualified(part), files.makeQualified(where), over)
+        put_text(self.spark, self.folder, name, text)
 
     def begin(self) -> None:
         """Forget earlier runs of the folder."""
