@@ -3,8 +3,8 @@
 Every task first inserts its own rows' texts into a trie, so that a text leaves it once, however many copies it has.
 These texts are dealt by their length and content hash into partitions, and each partition's trie, whose terminal nodes
 hold the owner's id and the copies, compares whole byte strings: two texts of one hash have two terminals. A trie that
-outgrows its bound gives up its largest subtree, whose texts go on to the next pass over more partitions; so memory is
-bounded whatever the table, and no text is judged by its hash alone.
+outgrows its bound gives up its largest subtrees, whose texts go on to the next pass over more partitions; so memory is
+bounded whatever the table. Rows then find their text's owner by its SHA-256, which is part of the result.
 """
 
 from __future__ import annotations
