@@ -45,11 +45,11 @@ TRAILER = struct.Struct("<IIQQQ")
 BLOCK_IDS = 1 << 14
 END_ID = 0
 #: Bytes of text whose words are looked up together, and words whose ids are put together (a longer text stands alone).
-RUN_BYTES, RUN_WORDS = 1 << 19, 1 << 15
+RUN_BYTES, RUN_WORDS = 1 << 20, 1 << 15
 #: New words that are given to the tokenizer at once, which takes some hundred bytes for each of their bytes.
-FRESH_WORDS = 1 << 11
+FRESH_WORDS = 1 << 12
 #: Words after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
-MEMO_WORDS = 30_000
+MEMO_WORDS = 80_000
 
 
 def bits_for(vocabulary: int) -> int:
