@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.shared import cut
 from tallyloom.operators.split import assign_groups
+from tallyloom.operators.unique import unique_cases
 from tallyloom.operators.verify import plan_digest
 from tallyloom.schema import BINARY, CHOICE, ORDINAL
 from tallyloom.sources import png
@@ -218,27 +218,6 @@ def choose_questions(facts: dict, language: str, draw: Stream, ident: str, n: in
     return out
 
 
-def unique_cases(cases: DataFrame, make: Callable[[DataFrame], DataFrame], key: str, rounds: int = 100) -> DataFrame:
-    """``make(cases)`` with every ``key`` once: cases that lose their key to a smaller one are made again, with ``attempt`` one up.
-
-    ``cases`` holds ``case``; ``make`` sees ``case, attempt`` and adds ``key`` (and more). Each round joins the new keys
-    against all accepted ones and is cut by a checkpoint; a round handles what the last one left, which shrinks fast.
-    """
-    waiting, accepted, before = cases.withColumn("attempt", F.lit(0)), None, cases.count()
-    for _ in range(rounds):
-        made = make(waiting)
-        made = made if accepted is None else made.withColumn("_key", F.col(key)).join(accepted.select(F.col(key).alias("_key")), "_key", "left_anti").drop("_key")
-        firsts = made.groupBy(key).agg(F.min("case").alias("case"))
-        new = cut(made.join(firsts, [key, "case"]))
-        accepted = new if accepted is None else accepted.unionByName(new)
-        left = cut(waiting.join(new.select("case"), "case", "left_anti").withColumn("attempt", F.col("attempt") + 1))
-        now = left.count()
-        if not now:
-            return accepted
-        waiting, before = left, now
-    raise ValueError(f"{before} cases are not unique after {rounds} draws")
-
-
 _FACTS = "struct<names:array<string>,values:array<int>,threshold:int,style:int>"
 
 

@@ -180,14 +180,22 @@ def compare_model_set(predictions: DataFrame, reference: str, *, reps: int = 100
 ROLES = ("real", "other", "none")
 
 
-def _whole_triplets(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str]) -> DataFrame:
-    """One row per triplet with 0 or 1 for each role and ``accuracy, all_correct``; a repeated, unknown or missing role fails."""
+#: What two models' predictions of one role must agree in, if they tell it.
+PAIRING = ("group_id", "input_sha256", "target_index")
+
+
+def _whole_triplets(df: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str], pairing: Sequence[str] = ()) -> DataFrame:
+    """One row per triplet with 0 or 1 for each role and ``accuracy, all_correct``; a repeated, unknown or missing role fails.
+
+    With ``pairing``, also ``pairing``: those columns of each role, in the order of roles.
+    """
     hits = [F.max(F.when(F.col(role) == r, F.col(correct).cast("int"))).alias(r) for r in roles]
-    grouped = df.groupBy(triplet).agg(*hits, F.count("*").alias("_rows"), F.count_if(F.col(role).isin(*roles)).alias("_known"))
+    said = [F.array_sort(F.collect_list(F.struct(F.col(role), *pairing))).alias("pairing")] if pairing else []  # a row a role
+    grouped = df.groupBy(triplet).agg(*hits, *said, F.count("*").alias("_rows"), F.count_if(F.col(role).isin(*roles)).alias("_known"))
     fine = (F.col("_rows") == len(roles)) & (F.col("_known") == len(roles))
     for r in roles:
         fine = fine & F.col(r).isNotNull()
-    checked = grouped.select(triplet, *(F.when(fine, F.col(r)).otherwise(F.raise_error(F.lit("a triplet has repeated, unknown or missing roles"))).cast("double").alias(r) for r in roles))
+    checked = grouped.select(triplet, *(F.when(fine, F.col(r)).otherwise(F.raise_error(F.lit("a triplet has repeated, unknown or missing roles"))).cast("double").alias(r) for r in roles), *(["pairing"] if pairing else []))
     held = F.array(*roles)
     return checked.withColumns({"accuracy": prob.total(held) / len(roles), "all_correct": F.array_min(held)})
 
@@ -207,12 +215,19 @@ def triplet_intervals(df: DataFrame, triplet: str, role: str, correct: str, role
 def compare_triplets(a: DataFrame, b: DataFrame, triplet: str, role: str, correct: str, roles: Sequence[str] = ROLES, *, reps: int = 1000, seed: int = 0, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
     """``metric, a, b, b_minus_a, low, high, defined_reps`` of two models on the same triplets, paired by triplet.
 
-    The interval is that of the difference. Triplets that only one side has fail the query.
+    The interval is that of the difference. Triplets that only one side has fail the query, and so do roles whose group,
+    input hash or target (``PAIRING``) differ between the sides; a column of these that one side alone has is a ``ValueError``.
     """
     metrics = ("accuracy", "all_correct", *roles)
-    sides = [_whole_triplets(df, triplet, role, correct, roles).select(F.col(triplet).alias(f"_{side}"), *(F.col(m).alias(f"{side}_{m}") for m in metrics)) for side, df in (("a", a), ("b", b))]
+    pairing = [c for c in PAIRING if c in a.columns or c in b.columns]
+    if lacking := [c for c in pairing if c not in a.columns or c not in b.columns]:
+        raise ValueError(f"only one side tells {lacking}")
+    sides = [_whole_triplets(df, triplet, role, correct, roles, pairing).select(F.col(triplet).alias(f"_{side}"), *(F.col(m).alias(f"{side}_{m}") for m in metrics), *([F.col("pairing").alias(f"{side}_pairing")] if pairing else [])) for side, df in (("a", a), ("b", b))]
     joined = sides[0].join(sides[1], F.col("_a") == F.col("_b"), "full_outer")
-    both = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a triplet is on one side only"))).otherwise(F.col("_a"))
+    both = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a triplet is on one side only")))
+    if pairing:
+        both = both.when(~F.col("a_pairing").eqNullSafe(F.col("b_pairing")), F.raise_error(F.lit("a triplet's groups, inputs or targets differ between the sides")))
+    both = both.otherwise(F.col("_a"))
     rows = joined.withColumn(triplet, both).withColumns({"one": F.lit(1.0), **{f"d_{m}": F.col(f"b_{m}") - F.col(f"a_{m}") for m in metrics}})
     means = rows.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.avg(f"a_{m}").alias("a"), F.avg(f"b_{m}").alias("b")) for m in metrics]).alias("m")).select(F.explode("m").alias("m")).select("m.*")
     spread = bootstrap(rows, triplet, {m: (f"d_{m}", "one") for m in metrics}, draws, reps=reps, seed=seed, level=level)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom import schema as S
 from tallyloom.functions.text import shingles
+from tallyloom.operators.shared import cut
+from tallyloom.operators.skew import join_uneven
 
 NEAR, SHINGLE, LISTED = 0.8, 3, 200
 _ORDER = ("validation", "calibration", "test", "train")
@@ -62,39 +64,60 @@ def shared_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.split_a", "p.split_b").agg(F.count("*").alias("shared"))
 
 
+def _digested(df: DataFrame, ident: str, text: str, same: str | None) -> DataFrame:
+    """``id, same, t, digest``: rows of one ``same`` and text have one digest; a null ``same`` is an empty one."""
+    keyed = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), (F.coalesce(F.col(same), F.lit("")) if same else F.lit("")).alias("same"))
+    return keyed.withColumn("digest", F.sha2(F.concat_ws("\0", "same", F.coalesce(F.concat(F.lit("t"), F.col("t")), F.lit(""))), 256))
+
+
+def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """``rep, same, n, sh``: each distinct text's smallest id and its shingles' hashes; written to the shared folder, as all that follows reads it."""
+    texts = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("same").alias("same"), F.first("t").alias("t"))
+    hashed = texts.select("rep", "same", F.array_distinct(F.transform(shingles(F.col("t"), size), lambda s: F.xxhash64(s))).alias("sh"))
+    return cut(hashed.select("rep", "same", F.size("sh").alias("n"), "sh").where("n > 0"))
+
+
 def near_duplicate_pairs(df: DataFrame, ident: str, text: str, *, threshold: float = NEAR, size: int = SHINGLE, same: str | None = None) -> DataFrame:
     """``a, b, jaccard`` of all pairs of different rows whose word-shingle sets have at least ``threshold`` similarity.
 
     Equal texts are compared once and their rows paired by the caller's ids. Exact by prefix filtering: with shingles
     ordered from the rarest, two similar sets share one among their first ``n - ceil(threshold n) + 1``; pairs that meet
-    there are filtered by length and verified by intersection. ``same`` names a column that must agree.
+    there are filtered by length and verified by intersection. Shingles of one text alone come first in that order and
+    join nothing, so only shared ones are sorted. ``same`` names a column that must agree.
     """
-    keyed = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), *( [F.coalesce(F.col(same), F.lit("")).alias("same")] if same else [F.lit("").alias("same")]))
-    texts = keyed.groupBy("same", "t").agg(F.min("id").alias("rep"))
-    sets = texts.select("rep", "same", F.array_distinct(F.transform(shingles(F.col("t"), size), lambda s: F.xxhash64(s))).alias("sh")).where(F.size("sh") > 0)
-    long = sets.select("rep", "same", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    rarity = long.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = long.join(rarity, "s").groupBy("rep", "same", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ranked.select("rep", "same", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).where("e.f > 1").select("rep", "same", "n", F.col("e.s").alias("s"))
+    return _similar_pairs(_shingle_sets(_digested(df, ident, text, same), size), threshold)
+
+
+def _similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    long = sets.select("rep", "same", "n", F.explode("sh").alias("s"))
+    shared = long.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = long.join(shared, "s").groupBy("rep", "same", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    first = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    left = first - (F.col("n") - F.size("o"))  # places in the prefix after the text's own shingles
+    prefix = ranked.where(left > 0).select("rep", "same", "n", F.explode(F.slice("o", F.lit(1), left)).alias("e")).select("rep", "same", "n", F.col("e.s").alias("s"))
+    prefix = cut(prefix)
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.s") == F.col("b.s")) & (F.col("a.same") == F.col("b.same")) & (F.col("a.rep") < F.col("b.rep"))
     sized = near & (F.col("a.n") * threshold <= F.col("b.n") + 1e-9) & (F.col("b.n") * threshold <= F.col("a.n") + 1e-9)
     met = a.join(b, sized).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    left, right = sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    verified = met.join(left, "a").join(right, "b").withColumn("jaccard", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("jaccard") >= threshold - 1e-12)
+    one, other = sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb"))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    verified = met.join(one, "a").join(other, "b").withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("jaccard") >= threshold - 1e-12)
     return verified.select("a", "b", "jaccard")
 
 
 def near_duplicate_rows(df: DataFrame, ident: str, text: str, *, threshold: float = NEAR, size: int = SHINGLE, same: str | None = None) -> DataFrame:
-    """One row per row of ``df``: ``id, rep`` (the smallest id of its text) and ``links``, the other texts near to it."""
-    pairs = near_duplicate_pairs(df, ident, text, threshold=threshold, size=size, same=same)
+    """One row per row of ``df``: ``id, rep`` (the smallest id of its text) and ``links``, the other texts near to it.
+
+    A text may have any share of the rows: they are joined to it by ``join_uneven``.
+    """
+    rows = _digested(df, ident, text, same)
+    pairs = cut(_similar_pairs(_shingle_sets(rows, size), threshold))
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    keyed = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), (F.coalesce(F.col(same), F.lit("")) if same else F.lit("")).alias("same"))
-    reps = keyed.groupBy("same", "t").agg(F.min("id").alias("rep"))
-    named = keyed.join(reps, keyed["t"].eqNullSafe(reps["t"]) & (keyed["same"] == reps["same"])).select("id", "rep")
-    return named.join(links, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+    named = cut(rows.select("id", "digest"))
+    reps = named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("held"))
+    told = cut(reps.join(links, "rep", "left").select("digest", "rep", F.coalesce("links", F.lit(0)).alias("links"), "held"))
+    return join_uneven(named, told, "digest", "held", named.count()).select("id", "rep", "links")
 
 
 def near_duplicate_states(df: DataFrame, split: str, group: str, text: str, *, same: str | None = None, limit: int = LISTED) -> tuple[DataFrame, int]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import schema as S
 from tallyloom.functions.text import normalize_all
+from tallyloom.operators.skew import join_uneven
 from tallyloom.operators.expand import input_hashes, labels
 
 
@@ -63,8 +64,10 @@ def classify_duplicates(df: DataFrame, key: str, label: str, group: str, ident:
     """
     grouped = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(label).cast("string"), F.lit("\0"))).alias("l"), F.count_distinct(group).alias("g"))
     kind = F.when(F.col("l") > 1, "labels").when(F.col("g") > 1, "groups").otherwise("within_group")
-    shared = grouped.where("n > 1").select(F.col(key).alias("_key"), "n", kind.alias("kind"), F.when(kind == "within_group", "warning").otherwise("error").alias("level"))
-    return df.select(key, ident).join(shared, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    named = F.struct(F.col(key)).alias("_key")  # so that a null key is a key
+    shared = grouped.where("n > 1").select(named, "n", kind.alias("kind"), F.when(kind == "within_group", "warning").otherwise("error").alias("level"), F.col("n").alias("_held"))
+    rows = df.select(key, ident, named)
+    return join_uneven(rows, shared, "_key", "_held", df.count()).select(key, ident, "n", "kind", "level")
 
 
 def dataset_checks(examples: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def test_generator_does_not_depend_on_partitions(spark, cases):
 
 
 def test_other_rate_does_not_depend_on_facts(spark):
-    rows = generate.generate_mixed(spark, 4000, 3, 1, only="choice").where("task_family = 'fault_type' AND facts.fault != 'absent'")
+    rows = generate.generate_mixed(spark, 4000, 3, 1, only="choice", version=4).where("task_family = 'fault_type' AND facts.fault != 'absent'")
     label = F.filter("question.options", lambda o: o["id"] == F.col("target.class_id"))[0]["description"]
     other = label.isin(generate.CATEGORIES["es"]["other"], generate.CATEGORIES["en"]["other"])
     for r in rows.groupBy("facts.fault_kind").agg(F.avg(other.cast("double")).alias("r")).collect():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import panels as P
 from tallyloom.operators.split import assign_groups
+from tallyloom.operators.unique import unique_cases
 from tallyloom.operators.validate import record_errors
 from tallyloom.operators.verify import leaks, plan_digest
 from tallyloom.sources import png
@@ -205,10 +206,10 @@ def test_unique_cases_draws_again(spark):
         calls.append(1)
         return cases.withColumn("key", F.pmod(F.xxhash64("case", "attempt"), F.lit(10)))
 
-    rows = P.unique_cases(spark.range(10).withColumnRenamed("id", "case"), make, "key").collect()
+    rows = unique_cases(spark.range(10).withColumnRenamed("id", "case"), make, "key").collect()
     assert sorted(r.key for r in rows) == list(range(10)) == sorted(r.case for r in rows) and len(calls) > 1
     with pytest.raises(ValueError, match="not unique"):
-        P.unique_cases(spark.range(11).withColumnRenamed("id", "case"), make, "key", rounds=3)
+        unique_cases(spark.range(11).withColumnRenamed("id", "case"), make, "key", rounds=3)
 
 
 def test_images_written_once_by_the_tasks(spark, made_panels, tmp_path):

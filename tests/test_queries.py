@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from tallyloom.plans import oracles, queries
+from tallyloom.plans import checks, oracles, queries
 
 SMALL = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | checks.QUERIES, oracles.ORACLES | checks.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -33,20 +34,20 @@ def _rows(columns, rows):
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_and_sql_agree(spark, con, name):
-    found = queries.QUERIES[name](spark, SMALL)
-    expected = con.sql(oracles.ORACLES[name])
+    found = QUERIES[name](spark, SMALL)
+    expected = con.sql(ORACLES[name])
     assert sorted(found.columns) == sorted(expected.columns)
     assert _rows(found.columns, found.collect()) == _rows(expected.columns, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - oracles.ORACLES.keys()))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_query_without_sql_runs(spark, name):
-    assert queries.QUERIES[name](spark, SMALL).count() > 0
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_entry_points(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(queries.QUERIES) <= set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.queries())
