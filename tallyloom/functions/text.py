@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,12 @@ def _shingles(text: str, size: int) -> list[str]:
     return sorted({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
 
 
+def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes of the text's ``shingles``, sorted; null and empty texts have none."""
+    found = _shingles(text or "", size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed) for s in found), dtype=np.uint64, count=len(found)))
+
+
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of ``size`` case-folded words; a shorter text is one run, an empty one none."""
     return F.pandas_udf(lambda s: s.map(lambda t: _shingles(t, size), na_action="ignore"), "array<string>")(text)

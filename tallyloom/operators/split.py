@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import schema as S
-from tallyloom.functions.text import shingles
+from tallyloom.functions.text import shingle_hashes
 from tallyloom.operators.shared import cut
 from tallyloom.operators.skew import join_uneven
 
 NEAR, SHINGLE, LISTED = 0.8, 3, 200
+#: Shingles that are counted together, texts (as a power of two) whose shingles are packed together, texts hashed at once,
+#: and texts of candidate pairs whose numbers are broadcast to fetch their sets (more are joined).
+COUNTED, CHUNK_BITS, HASHED, BROADCAST_TEXTS = 1 << 21, 9, 256, 2_000_000
 _ORDER = ("validation", "calibration", "test", "train")
 
 
@@ -70,11 +78,92 @@ def _digested(df: DataFrame, ident: str, text: str, same: str | None) -> DataFra
     return keyed.withColumn("digest", F.sha2(F.concat_ws("\0", "same", F.coalesce(F.concat(F.lit("t"), F.col("t")), F.lit(""))), 256))
 
 
+def _hashed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, HASHED):
+                part = batch.slice(start, HASHED)
+                seeds = [xxhash.xxh64_intdigest(s, 42) if s else 42 for s in part.column(1).to_pylist()]
+                sets = [shingle_hashes(t, size, seed) for t, seed in zip(part.column(2).to_pylist(), seeds)]
+                n = np.array([len(s) for s in sets], dtype=np.int32)
+                kept = part.column(0).filter(pa.array(n > 0))
+                ends = np.concatenate([[0], np.cumsum(n[n > 0])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([kept, pa.array(n[n > 0]), listed], ["rep", "n", "sh"])
+
+    return run
+
+
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """``rep, same, n, sh``: each distinct text's smallest id and its shingles' hashes; written to the shared folder, as all that follows reads it."""
+    """``name, rep, n, sh``: each distinct text's number, smallest id and shingles' hashes; written to the shared folder, as all that follows reads it.
+
+    A text's ``same`` seeds its hashes: texts of another one have no hash in common with it.
+    """
     texts = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("same").alias("same"), F.first("t").alias("t"))
-    hashed = texts.select("rep", "same", F.array_distinct(F.transform(shingles(F.col("t"), size), lambda s: F.xxhash64(s))).alias("sh"))
-    return cut(hashed.select("rep", "same", F.size("sh").alias("n"), "sh").where("n > 0"))
+    kind = rows.schema["id"].dataType.simpleString()
+    hashed = texts.select("rep", "same", "t").mapInArrow(_hashed(size), f"rep {kind}, n int, sh array<long>")
+    return cut(hashed.select(F.monotonically_increasing_id().alias("name"), "rep", "n", "sh"))
+
+
+def _parted(bits: int):
+    """Shingles by their hashes' first ``bits``: a chunk of texts gives each part one row, with the text's place in its
+    chunk and 32 further bits of the hash for each shingle. Hashes that agree in all of these count as one shingle,
+    which adds candidates and loses none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for rows in np.split(np.arange(len(names)), np.flatnonzero(np.diff(names >> CHUNK_BITS)) + 1):
+                if not len(rows):
+                    continue
+                sets = batch.column(1).slice(rows[0], len(rows))
+                h = sets.flatten().to_numpy().view(np.uint64)
+                at = np.repeat(names[rows] & (1 << CHUNK_BITS) - 1, np.diff(sets.offsets.to_numpy())).astype("<u2")
+                part = (h >> np.uint64(64 - bits)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                at, low = at[by], (h[by] << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+                parts, starts = np.unique(part[by], return_index=True)
+                bounds = [*starts.tolist(), len(by)]
+                packed = [pa.array([c[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary()) for c in (at, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), names[rows[0]] >> CHUNK_BITS)), *packed], ["part", "chunk", "at", "h"])
+
+    return run
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of packed rows, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=kind), np.array([len(r) for r in rows], dtype=np.int64) // np.dtype(kind).itemsize
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The rows of a part without shingles of one text alone, and with each shingle's number of texts."""
+    (at, sizes), (h, _) = _unpacked(table.column("at"), "<u2"), _unpacked(table.column("h"), "<u4")
+    _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+    f = counts[which].astype("<u4")
+    shared = f > 1
+    ends = np.concatenate([[0], np.cumsum(shared)])[np.cumsum(sizes)].tolist()
+    packed = [pa.array([c[i:j].tobytes() for i, j in zip([0, *ends], ends)], pa.binary()) for c in (at[shared], h[shared], f[shared])]
+    return pa.Table.from_arrays([table.column("chunk"), table.column("part"), *packed], ["chunk", "part", "at", "h", "f"])
+
+
+def _prefixes(threshold: float):
+    def run(rows: pa.Table, texts: pa.Table) -> pa.Table:
+        """A chunk's texts under the shared shingles of their prefixes, with the shingle's place among all of the text's."""
+        (at, sizes), (h, _), (f, _) = _unpacked(rows.column("at"), "<u2"), _unpacked(rows.column("h"), "<u4"), _unpacked(rows.column("f"), "<u4")
+        key = np.repeat(rows.column("part").to_numpy().astype(np.int64), sizes) << 32 | h
+        names, n = texts.column("name").to_numpy(), np.zeros(1 << CHUNK_BITS, dtype=np.int64)
+        n[names & (1 << CHUNK_BITS) - 1] = texts.column("n").to_numpy()
+        by = np.lexsort((key, f, at))
+        at, key = at[by], key[by]
+        _, starts, shared = np.unique(at, return_index=True, return_counts=True)
+        n = n[at]
+        place = np.arange(len(at)) - np.repeat(starts + shared, shared) + n  # the text's own shingles come before
+        kept = place < n - np.ceil(n * threshold - 1e-9) + 1
+        name = names[0] >> CHUNK_BITS << CHUNK_BITS | at[kept].astype(np.int64)
+        return pa.Table.from_arrays([pa.array(key[kept]), pa.array(name), pa.array(place[kept].astype(np.int32)), pa.array(n[kept].astype(np.int32))], ["key", "name", "place", "n"])
+
+    return run
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str, text: str, *, threshold: float = NEAR, size: int = SHINGLE, same: str | None = None) -> DataFrame:
@@ -82,28 +171,33 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, *, threshold: flo
 
     Equal texts are compared once and their rows paired by the caller's ids. Exact by prefix filtering: with shingles
     ordered from the rarest, two similar sets share one among their first ``n - ceil(threshold n) + 1``; pairs that meet
-    there are filtered by length and verified by intersection. Shingles of one text alone come first in that order and
-    join nothing, so only shared ones are sorted. ``same`` names a column that must agree.
+    there are filtered by length and place and verified by intersection. Shingles of one text alone come first in that
+    order and join nothing, so only shared ones are sorted. A shingle is shuffled once, packed in six bytes, to be
+    counted, and a shared one once more, in ten. ``same`` names a column that must agree.
     """
     return _similar_pairs(_shingle_sets(_digested(df, ident, text, same), size), threshold)
 
 
 def _similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    long = sets.select("rep", "same", "n", F.explode("sh").alias("s"))
-    shared = long.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = long.join(shared, "s").groupBy("rep", "same", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
-    first = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    left = first - (F.col("n") - F.size("o"))  # places in the prefix after the text's own shingles
-    prefix = ranked.where(left > 0).select("rep", "same", "n", F.explode(F.slice("o", F.lit(1), left)).alias("e")).select("rep", "same", "n", F.col("e.s").alias("s"))
-    prefix = cut(prefix)
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = min(16, max(4, (total // COUNTED).bit_length()))
+    parted = sets.select("name", "sh").mapInArrow(_parted(bits), "part int, chunk long, at binary, h binary")
+    counted = parted.groupBy("part").applyInArrow(_counted, "chunk long, part int, at binary, h binary, f binary")
+    sizes = sets.select(F.shiftright("name", CHUNK_BITS).alias("chunk"), "name", "n")
+    prefix = cut(counted.groupBy("chunk").cogroup(sizes.groupBy("chunk")).applyInArrow(_prefixes(threshold), "key long, name long, place int, n int"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.same") == F.col("b.same")) & (F.col("a.rep") < F.col("b.rep"))
-    sized = near & (F.col("a.n") * threshold <= F.col("b.n") + 1e-9) & (F.col("b.n") * threshold <= F.col("a.n") + 1e-9)
-    met = a.join(b, sized).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    one, other = sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    verified = met.join(one, "a").join(other, "b").withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("jaccard") >= threshold - 1e-12)
-    return verified.select("a", "b", "jaccard")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name"))
+    sized = (F.col("a.n") * threshold <= F.col("b.n") + 1e-9) & (F.col("b.n") * threshold <= F.col("a.n") + 1e-9)
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    enough = rest * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9  # what both may still share
+    met = cut(a.join(b, near & sized & enough).select(F.col("a.name").alias("u"), F.col("b.name").alias("v")).distinct())
+    wanted = met.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        sets = sets.join(F.broadcast(wanted), "name", "left_semi")
+    one, other = (sets.select(F.col("name").alias(k), F.col("rep").alias(f"r{k}"), F.col("sh").alias(f"s{k}")) for k in ("u", "v"))
+    inter = F.size(F.array_intersect("su", "sv"))
+    verified = met.join(one, "u").join(other, "v").withColumn("jaccard", inter / (F.size("su") + F.size("sv") - inter)).where(F.col("jaccard") >= threshold - 1e-12)
+    return verified.select(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b"), "jaccard")
 
 
 def near_duplicate_rows(df: DataFrame, ident: str, text: str, *, threshold: float = NEAR, size: int = SHINGLE, same: str | None = None) -> DataFrame:

@@ -320,3 +320,23 @@ def test_request_battery_keeps_all_questions(spark):
     assert [len(r.questions) for r in made if r.g is None] == [1]
     turns = derive.request_battery(df, "g", "q", "text", requests=20).collect()
     assert sorted(r.request for r in turns) == list(range(20)) and len({(r.g, r.part) for r in turns}) == 8
+
+
+def test_near_duplicates_shuffle_shingles_packed(spark):
+    """Texts without a common shingle: what is shuffled stays below what a row per shingle would take."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 40, 600)) for _ in range(400)]
+    texts += [texts[7] + " more", texts[7]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4).localCheckpoint()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("shuffled", "shuffled")
+    try:
+        found = {r.id: (r.rep, r.links) for r in split.near_duplicate_rows(df, "id", "t").collect()}
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(j).stageIds}
+    written = sum(store.stageAttempt(s, 0, False, None, False, None)._1().shuffleWriteBytes() for s in stages)
+    assert {i for i, (_, links) in found.items() if links} == {7, 400, 401} and found[401] == (7, 1)
+    text, shingles = sum(map(len, texts)), 400 * 598
+    assert written < text + 8 * shingles
