@@ -21,14 +21,16 @@ def parse_requests(df: DataFrame, body: str = "value") -> DataFrame:
 
     The error never repeats the input.
     """
-    strict = F.try_parse_json(F.col(body))
-    request = F.from_json(F.when(strict.isNotNull(), F.col(body)), REQUEST)
-    parsed = df.withColumn("_r", F.when(F.octet_length(body) <= MAX_BODY, request))
+    large = F.octet_length(body) > MAX_BODY
+    request = F.from_json(F.when(F.try_parse_json(F.col(body)).isNotNull(), F.col(body)), REQUEST)  # null if the strict parse fails
+    read = F.struct(F.coalesce(large, F.lit(False)).alias("large"), F.when(~large, request).alias("r"))
+    # a generator: what is asked of the request later isn't pushed before it, where each use would parse the body again
+    parsed = df.select(F.explode(F.array(read)).alias("_p")).select(F.col("_p.large").alias("_large"), F.col("_p.r").alias("_r"))
     questions = F.map_values("_r.questions")
     wrong = F.exists(questions, lambda q: ~F.coalesce(q["type"].isin(*S.TYPES), F.lit(False)) | F.coalesce(F.length(F.trim(q["instructions"])) == 0, F.lit(True)) | ((q["type"] == S.CHOICE) & ~F.coalesce(F.size(q["options"]).between(*S.CHOICE_OPTIONS), F.lit(False))) | ((q["type"] == S.ORDINAL) & ~F.coalesce(F.size(q["levels"]).between(*S.ORDINAL_LEVELS), F.lit(False))))
     error = (
-        F.when(F.octet_length(body) > MAX_BODY, "body_too_large")
-        .when(strict.isNull() | F.col("_r").isNull(), "invalid_json")
+        F.when(F.col("_large"), "body_too_large")
+        .when(F.col("_r").isNull(), "invalid_json")
         .when(F.coalesce(F.length(F.trim("_r.state")), F.lit(0)) == 0, "empty_state")
         .when(~F.coalesce(F.size("_r.questions").between(1, MAX_QUESTIONS), F.lit(False)), "question_count")
         .when(wrong, "invalid_question")

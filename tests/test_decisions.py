@@ -340,3 +340,11 @@ def test_near_duplicates_shuffle_shingles_packed(spark):
     assert {i for i, (_, links) in found.items() if links} == {7, 400, 401} and found[401] == (7, 1)
     text, shingles = sum(map(len, texts)), 400 * 598
     assert written < text + 8 * shingles
+
+
+def test_a_body_is_parsed_once(spark):
+    bodies = ['{"id": "a", "state": "s", "questions": {"q": {"type": "binary", "instructions": "?"}}}', '{"id": "a", "id": "b"}', None, "x" * (serving.MAX_BODY + 1)]
+    requests = serving.parse_requests(spark.createDataFrame([(b,) for b in bodies], "value string"))
+    assert [r.error for r in requests.collect()] == [None, "invalid_json", "invalid_json", "body_too_large"]
+    plan = serving.decide(requests, serving.hashed_scorer)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("from_json") == 1
