@@ -21,6 +21,8 @@ from tallyloom.sources.png import DamagedImage, decode
 
 #: Question types as data files name them, and as they are named here.
 TYPE_NAMES = {"noul": S.BINARY, "choice": S.CHOICE, "score": S.ORDINAL, **{t: t for t in S.TYPES}}
+#: Lines, and characters of them, whose records stand in a task's memory together.
+PARSED_ROWS, PARSED_CHARACTERS = 256, 1 << 20
 _TOP = {"schema_version", "id", "group_id", "task_family", "language", "state", "image_path", "question", "target", "provenance"}
 _REQUIRED = _TOP - {"image_path"}
 _PROVENANCE = {f.name for f in S.PROVENANCE.fields}
@@ -143,10 +145,24 @@ def parse_record(line: str) -> tuple[dict | None, list[str]]:
     return kept | {"state": state, "state_kind": kind, "question": asked, "target": aimed, "provenance": origin}, []
 
 
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Where runs of at most PARSED_ROWS lines of about PARSED_CHARACTERS begin and end; a longer line stands alone."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= PARSED_ROWS or held + size > PARSED_CHARACTERS):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        made = [parse_record(line) for line in batch["value"].fillna("")]
-        yield pd.DataFrame({"path": batch["path"], "line": batch["line"], "value": batch["value"], "record": [r for r, _ in made], "form_errors": [e for _, e in made]})
+    for whole in batches:
+        for start, end in _runs(whole["value"].fillna("").str.len().tolist()):
+            batch = whole.iloc[start:end]
+            made = [parse_record(line) for line in batch["value"].fillna("")]
+            yield pd.DataFrame({"path": batch["path"].array, "line": batch["line"].array, "value": batch["value"].array, "record": [r for r, _ in made], "form_errors": [e for _, e in made]})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

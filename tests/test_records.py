@@ -228,3 +228,15 @@ def test_file_hashes(spark, tmp_path):
     records.check_declared(files, {"examples.jsonl": hashlib.sha256(b"abc").hexdigest()})
     with pytest.raises(ValueError):
         records.check_declared(files, {"examples.jsonl": "0"})
+
+
+def test_parsed_records_come_in_runs():
+    """However many lines a batch holds, few records and few characters of them stand in memory together."""
+    import pandas as pd
+
+    lines = ["{}"] * 1000 + ["x" * records.PARSED_CHARACTERS, "y" * 600_000, "z" * 600_000, None, ""]
+    batch = pd.DataFrame({"path": "p", "line": range(len(lines)), "value": lines})
+    made = list(records._parse(iter([batch, batch.iloc[:0]])))
+    assert [n for b in made for n in b["line"]] == list(range(len(lines)))
+    assert all(len(b) <= 256 and (len(b) == 1 or sum(len(v or "") for v in b["value"]) <= records.PARSED_CHARACTERS) for b in made)
+    assert made[-1]["form_errors"].tolist()[-2:] == [["blank_line"], ["blank_line"]]
