@@ -48,30 +48,29 @@ def counters(plan: DataFrame) -> DataFrame:
 
 
 def _encode(model: Model):
-    def forward(rows: list[tuple]) -> tuple[list, np.ndarray]:
-        ids = np.zeros((len(rows), rows[0][3]), dtype=np.int64)
+    def forward(idents: list, tokens: list[np.ndarray], longest: int) -> pa.RecordBatch:
+        ids = np.zeros((len(tokens), longest), dtype=np.int64)
         mask = np.zeros(ids.shape, dtype=bool)
-        for i, (_, _, tokens, _) in enumerate(rows):
-            ids[i, : len(tokens)], mask[i, : len(tokens)] = tokens, True
+        for i, own in enumerate(tokens):
+            ids[i, : len(own)], mask[i, : len(own)] = own, True
         pooled = last_states(model(ids, mask), mask)
         if not np.isfinite(pooled).all():
             raise ValueError("a vector isn't finite")
-        return [r[1] for r in rows], pooled
+        return pa.RecordBatch.from_arrays([pa.array(idents), pa.array(pooled.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["ident", "features"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            idents, pooled = forward(rows)
-            return pa.RecordBatch.from_arrays([pa.array(idents), pa.array(pooled.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["ident", "features"])
-
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "ident", "tokens", "padded_to"))):
-                if held and held[0][0] != row[0]:
-                    yield told(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield told(held)
+        held, idents, tokens, longest = None, [], [], 0
+        for batch in batches:  # tokens stay in Arrow's arrays; a model's batch is copied from them
+            for i, (number, ident, padded) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("batch", "ident", "padded_to")))):
+                if tokens and held != number:
+                    yield forward(idents, tokens, longest)
+                    idents, tokens = [], []
+                idents.append(ident)
+                tokens.append(batch.column("tokens")[i].values.to_numpy())
+                held, longest = number, padded
+            tokens = [own.copy() for own in tokens]
+        if tokens:
+            yield forward(idents, tokens, longest)
 
     return run
 

@@ -69,3 +69,21 @@ def test_a_vector_that_isnt_finite(spark, rows):
     with pytest.raises(Exception, match="finite"):
         encode_rows(rows, word_ids("text", 50), wrong, max_tokens=30)[0].collect()
     assert counters(encode.batch_plan(rows.withColumn("ids", word_ids("text", 50)), "row_sha256", "ids", 7)).first()["forwards"] == 9
+
+
+def test_tokens_stay_in_arrow_arrays():
+    """A batch of many rows takes little more memory than its arrays: a model's batch alone is copied."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tallyloom.operators import encode as E
+
+    rows, n = 2000, 500
+    tokens = pa.ListArray.from_arrays(pa.array(range(0, rows * n + 1, n), pa.int32()), pa.array(np.arange(rows * n, dtype=np.int32) % 5000 + 1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 8 for i in range(rows)]), pa.array(range(rows)), tokens, pa.array([n] * rows, pa.int32())], ["batch", "ident", "tokens", "padded_to"])
+    tracemalloc.start()
+    told = sum(b.num_rows for b in E._encode(E.recurrent_states(3))(iter([batch.slice(0, 1003), batch.slice(1003)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == rows and most < 4 * rows * n
