@@ -75,7 +75,7 @@ def hashed_grams(text: Column, buckets: int = 1 << 14) -> Column:
     bucket = lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % buckets).cast("int")
     words = F.transform(F.array(tokens(text)), lambda w: w)  # computed once, then bound
     pairs = lambda w: F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.concat_ws(" ", F.element_at(w, i + 1), b))
-    return F.element_at(F.transform(words, lambda w: F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.concat(w, pairs(w))), bucket)))), 1)
+    return F.element_at(F.transform(words, lambda w: F.sort_array(F.array_distinct(F.transform(F.array_distinct(F.concat(w, pairs(w))), bucket)))), 1)
 
 
 def id_parts(value: Column) -> tuple[Column, Column]:

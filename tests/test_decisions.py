@@ -348,3 +348,10 @@ def test_a_body_is_parsed_once(spark):
     assert [r.error for r in requests.collect()] == [None, "invalid_json", "invalid_json", "body_too_large"]
     plan = serving.decide(requests, serving.hashed_scorer)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 1 and plan.count("from_json") == 1
+
+
+def test_buckets_are_sorted_without_a_lambda(spark):
+    rows = spark.createDataFrame([("b a b c",), ("",), (None,)], "t string").select(hashed_grams(F.col("t")).alias("f"))
+    assert "array_sort" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    (some,), (none,), (null,) = rows.collect()
+    assert some == sorted(set(some)) and len(some) == 6 and none == [] and null is None
