@@ -355,3 +355,9 @@ def test_buckets_are_sorted_without_a_lambda(spark):
     assert "array_sort" not in rows._jdf.queryExecution().optimizedPlan().toString()
     (some,), (none,), (null,) = rows.collect()
     assert some == sorted(set(some)) and len(some) == 6 and none == [] and null is None
+
+
+def test_near_duplicates_of_texts_that_share_nothing(spark):
+    for texts in ([], ["", None, " "], ["one two three four", "five six seven"], ["one two", "", "one two"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+        assert {(r.id, r.links) for r in split.near_duplicate_rows(df, "id", "t").collect()} == {(i, 0) for i in range(len(texts))}
