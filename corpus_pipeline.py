@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.binpack import read_tokens, write_tokens
-from tallyloom.llm.common import broadcast_within, shared_dir, unused
+from tallyloom.llm.common import broadcast_within, cut, shared_dir, unused
 from tallyloom.llm.decontam import contaminated
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.similar import similar_documents
@@ -58,7 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = first.groupBy("component", "doc_id", "print").agg(F.count("*").alias("rows"))
     kept = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "print", "rows"), "print").alias("k")).select("k.*")
-    chosen, columns = _with(docs, kept)
+    chosen, columns = _with(docs, cut(kept))
     once = chosen.where("decided_rows > 1").select(columns).dropDuplicates(["doc_id", "text"])
     return chosen.where("decided_rows = 1").select(columns).unionByName(once)
 

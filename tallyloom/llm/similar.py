@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import broadcast_within, cut, frugal, small_batches, split_words, text_slices
-from tallyloom.llm.components import connected_components
+from tallyloom.llm.components import by_size, connected_components
 from tallyloom.llm.simhash import CHUNK, SEED
 from tallyloom.operators.skew import join_salted, join_uneven
 
@@ -136,10 +136,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity:
     """The ``pairs (u, v)`` of text hashes whose texts are similar."""
     pairs = cut(pairs)
     total = pairs.count()
+    if not total:
+        return pairs
+    pairs = by_size(pairs, total)
     wanted, _ = broadcast_within(pairs.select(F.col("u").alias("print")).unionByName(pairs.select(F.col("v").alias("print"))).distinct(), BROADCAST_TEXTS)
     texts = cut(rows.select("print", "text").join(wanted, "print", "left_semi").dropDuplicates(["print"]))
     left = join_salted(pairs, texts.select(F.col("print").alias("u"), F.col("text").alias("a")), "u", F.xxhash64("v"), total)
-    both = join_salted(left, texts.select(F.col("print").alias("v"), F.col("text").alias("b")), "v", F.xxhash64("u"), total)
+    both = join_salted(left, texts.select(F.col("print").alias("v"), F.col("text").alias("b")), "v", F.xxhash64("u"), total, counted=pairs)
     return cut(both.select("u", "v", "a", "b").mapInArrow(frugal(_similar(shingle_words, similarity)), "u long, v long"))
 
 

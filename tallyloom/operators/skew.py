@@ -28,14 +28,15 @@ def join_uneven(rows: DataFrame, table: DataFrame, key: str, held: str, total: i
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(light, key))
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: Column, total: int) -> DataFrame:
+def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: Column, total: int, counted: DataFrame | None = None) -> DataFrame:
     """As ``join_uneven`` for a ``table`` whose rows are too large to be broadcast.
 
     A heavy key's rows are dealt by the whole number ``spread`` into as many parts as it has times the rows that make a
-    key heavy, and its row of ``table`` goes to each. Only heavy keys and their parts are broadcast.
+    key heavy, and its row of ``table`` goes to each. Only heavy keys and their parts are broadcast. ``counted`` has the same keys as
+    ``rows`` and is counted in their place, if they take work to make.
     """
     least = heavy_rows(total)
-    held = rows.groupBy(key).agg(F.count("*").alias("_held")).where(F.col("_held") > least)
+    held = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_held")).where(F.col("_held") > least)
     few = F.broadcast(held.select(key, F.ceil(F.col("_held") / least).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(few, key, "left").withColumn("_part", F.pmod(spread, parts).cast("int")).drop("_parts")
