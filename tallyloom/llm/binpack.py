@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -48,6 +49,8 @@ END_ID = 0
 RUN_BYTES, RUN_WORDS = 2 << 20, 1 << 15
 #: New words that are given to the tokenizer at once, which takes some hundred bytes for each of their bytes.
 FRESH_WORDS = 1 << 12
+#: Marks that are taken off the end of a word.
+CLOSING = ".,"
 #: Words after which a worker's memory of their ids becomes the older of two; what isn't met again goes with the next.
 MEMO_WORDS = 80_000
 
@@ -172,9 +175,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, named)) if named else r"(?!)")
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.space = space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
+        self.closing = {mark: ids for mark, ids in zip(CLOSING, self._batch(list(CLOSING)))}
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -182,28 +187,56 @@ class PieceEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str], often: np.ndarray) -> list[bytes]:
-        """The ids of each word with a space before it; those met ``often`` are remembered."""
+        """The ids of each word with a space before it; those met ``often`` are remembered.
+
+        The tokenizer splits after a letter or digit that a full stop or comma follows, so a word's ids are those
+        of the word without such a mark at its end and the mark's own.
+        """
         if len(self.recent) > MEMO_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
         pieces = list(map(recent.get, words))
-        fresh = []
+        fresh: dict[str, int] = {}  # new words without their closing mark, and where each is met first
+        again, marked = [], []
         for i, piece in enumerate(pieces):
             if piece is None:
-                word = words[i]
+                word, mark = words[i], b""
+                if word[-1:] in self.closing and word[-2:-1].isascii() and word[-2:-1].isalnum():
+                    word, mark = word[:-1], self.closing[word[-1]]
+                    if (piece := recent.get(word)) is not None:
+                        pieces[i] = piece + mark
+                        continue
                 if (piece := older.get(word)) is not None:
-                    pieces[i] = recent[word] = piece
-                else:
-                    fresh.append(i)
-        for start in range(0, len(fresh), FRESH_WORDS):
-            own = fresh[start : start + FRESH_WORDS]
-            data = self._batch([" " + " ".join([words[i] for i in own])])[0]
+                    recent[word] = piece
+                    pieces[i] = piece + mark
+                    continue
+                first = fresh.setdefault(word, i)
+                if first != i:
+                    often[first] = True
+                    again.append((i, first))
+                if mark:
+                    marked.append((i, mark))
+        new = []
+        for word, i in fresh.items():
+            if word.isascii() and word.isalpha():
+                piece = pieces[i] = array("I", [token.id for token in self.tokenize(self.space + word)]).tobytes()
+                if often[i]:
+                    recent[word] = piece
+            else:
+                new.append((word, i))
+        for start in range(0, len(new), FRESH_WORDS):
+            own = new[start : start + FRESH_WORDS]
+            data = self._batch([" " + " ".join([word for word, _ in own])])[0]
             starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, dtype="<u4")])).tolist()
             starts.append(len(data))
-            for i, a, b in zip(own, starts[:-1], starts[1:], strict=True):
+            for (word, i), a, b in zip(own, starts[:-1], starts[1:], strict=True):
                 pieces[i] = data[a:b]
                 if often[i]:
-                    recent[words[i]] = pieces[i]
+                    recent[word] = pieces[i]
+        for i, first in again:
+            pieces[i] = pieces[first]
+        for i, mark in marked:
+            pieces[i] += mark
         return pieces
 
     def _edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -111,3 +111,13 @@ def test_awkward_rows_and_an_empty_table(spark, awkward, nothing, tokenizer, tmp
     assert [r[1] for r in found] == np.cumsum([0, *(r[2] for r in found)])[:-1].tolist()
     assert write_tokens(nothing, f"{tmp_path}/nothing", PATH, vocabulary=50_257) == []
     assert read_tokens(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_a_closing_mark_is_no_word_of_its_own(tokenizer, monkeypatch):
+    """A word and the same word before a full stop or comma are remembered once; words of letters skip the splitter."""
+    rows = ["x alpha alpha. alpha, alpha.. beta. beta 7. 7 é. it's. it's ., . , ß, a1. alpha."]
+    encoder = PieceEncoder(PATH)
+    for _ in range(2):
+        [(ids, _)] = encoder.encode(pa.array(rows))
+        assert ids.tolist() == tokenizer.encode(rows[0], add_special_tokens=False).ids
+    assert "alpha" in encoder.recent and not {"alpha.", "alpha,", "7."} & set(encoder.recent)
